@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, packing
 
-QUERIES = {"op4_line_dedup": line_dedup.query}
+QUERIES = {"op4_line_dedup": line_dedup.query, "op10_packing": packing.query}
 ORACLE_SQL = {"op4_line_dedup": line_dedup.SQL}
