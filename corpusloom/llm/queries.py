@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing
+from . import line_dedup, packing, token_store, url_filter
 
-QUERIES = {"op4_line_dedup": line_dedup.query, "op10_packing": packing.query}
+QUERIES = {
+    "op2_url_filter": url_filter.query,
+    "op4_line_dedup": line_dedup.query,
+    "op8_token_store": token_store.query,
+    "op10_packing": packing.query,
+}
 ORACLE_SQL = {"op4_line_dedup": line_dedup.SQL}
