@@ -40,6 +40,10 @@ https://crypto-double-profit.test/invest  http://bitcoin-fast-profit.test/join-n
 http://secure-login-verify.test/account/update/password  https://bank-account-verify.test/signin  http://paypal-login-confirm.test/verify
 https://replica-watches-outlet.test/sale  http://luxury-replica-bags.test/cheap  https://fake-designer-outlet.test/discount
 http://escort-girls-city.test/book  https://nude-cams-free.test/join  http://porn-tube-free.test/videos/xxx
+http://www.mass-mailing-spam.test/en/301  http://www.spam-links-network.test/de/77  https://www.content-farm-spam.test/articles/9
+http://www.link-farm-spam.test/es/45  http://blog.spam-comments.test/fr/12/  http://www.spam-mail.test/en/5
+http://ads-network.test/en/serve  https://m.track-ads.test/de/4  http://blog.free-betting-tips.test/odds  https://sports-bets-free.test/en/12
+http://www.adult-content.test/en/71  http://m.adult-movies.test/es/8  http://blog.cheap-loans.test/fr/5  http://m.pills-online.test/en/66
 https://seo-backlinks-cheap.test/buy  http://buy-followers-likes.test/instant  https://link-farm-directory.test/page1
 http://weight-loss-miracle.test/pills  https://hair-growth-miracle.test/order-now  http://male-enhance-pills.test/buy
 """
@@ -56,6 +60,9 @@ https://forum.linux-users.test/thread/4521  https://forum.woodworking.test/topic
 https://school.primary.test/homework/maths  https://www.language-course.test/en/grammar/verbs  https://dictionary.words.test/define/river
 https://www.train-timetable.test/stations/central  https://maps.open-data.test/regions/north  https://statistics.office.test/census/2011
 https://www.book-publisher.test/authors/index  https://poems.literature.test/sonnets/18  https://archive.newspapers.test/1905/may
+https://blog.gardeners.test/en/204  https://m.newsroom.test/de/31  https://www.stories.test/fr/88.html  https://archive.letters.test/es/17
+https://m.timetable.test/en/1290/  https://m.weather.test/en/36445  http://m.museum.test/fr/129/  https://m.teaching.test/de/35593.html
+https://blog.thinking.test/en/1201  http://blog.mathematics.test/de/4406/  https://m.thesaurus.test/en/30110  https://m.nation.test/es/12183
 https://www.football-league.test/fixtures  https://cycling.sports.test/tour/stage-5  https://birds.nature.test/species/robin
 """
 
@@ -105,7 +112,7 @@ class UrlModel:
     bits: int
 
     @classmethod
-    def fit(cls, labelled: DataFrame, least: int = 3, most: int = 5, bits: int = 16, l2: float = 0.02, steps: int = 300, max_rows: int = 10_000) -> UrlModel:
+    def fit(cls, labelled: DataFrame, least: int = 3, most: int = 5, bits: int = 16, l2: float = 0.005, steps: int = 400, max_rows: int = 10_000) -> UrlModel:
         """Learn from (url, label), label 1 to block.  The table is small by
         contract: at most `max_rows` rows, in the order of their hash, are used."""
         rows = labelled.where("label IS NOT NULL").select(host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p"), F.col("label").cast("int").alias("y"))
