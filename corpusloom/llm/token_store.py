@@ -5,13 +5,13 @@ passages give equal chunks wherever they stand.  Each distinct chunk is stored
 once, under its digest; a document is a recipe, the list of its chunks' digests.
 The layout of a store (all Parquet, in any folder that Spark can write):
 
-  entries   kind 0: a chunk (key = digest, n ids, data = deflated ids);
+  entries   kind 0: a chunk (key = digest, n ids, data = ids);
             kind 1: a recipe (doc_id, n ids, key = its Merkle root, data = digests)
   recipes   recipes in ascending doc_id order, with the document's start offset
             and the number of its file part
   manifest  for each part of recipes: documents, ids, first start, Merkle root
 
-`verify` reads a store back: it inflates every chunk, checks its digest, checks
+`verify` reads a store back: it checks every chunk's digest, checks
 each recipe's root and each part's root, and joins CRC-32s of chunks to CRC-32s
 of documents, so whole documents never move between machines.
 
@@ -54,44 +54,47 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream.  A chunk ends after an id where the
-    rolling hash of the last WINDOW ids has its low bits clear, after at least
-    LEAST and at most MOST ids."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    gear, rolled = _GEAR[ids & 0xFFFF], np.zeros(n, dtype=np.uint32)
+def cut_points(ids: np.ndarray, ends: list[int]) -> list[list[int]]:
+    """Ends of the chunks of several id streams that stand one after the other, the
+    i-th up to ends[i].  A chunk ends after an id where the rolling hash of the last
+    WINDOW ids has its low bits clear, after at least LEAST and at most MOST ids.
+    As LEAST is more than WINDOW, no cut depends on the stream before."""
+    gear, rolled = _GEAR[ids & 0xFFFF], np.zeros(len(ids), dtype=np.uint32)
     for i in range(WINDOW):
-        rolled[i:] += gear[: n - i] << np.uint32(i)
+        rolled[i:] += gear[: len(ids) - i] << np.uint32(i)
     rolled ^= rolled >> np.uint32(15)
-    out, last = [], 0
-    for end in (np.flatnonzero((rolled & MASK) == 0) + 1).tolist():
-        if end - last < LEAST:
-            continue
-        while end - last > MOST:
-            last += MOST
-            out.append(last)
-        if end - last >= LEAST:
-            out.append(end)
-            last = end
-    while n - last > MOST:
-        last += MOST
-        out.append(last)
-    return out if last == n else [*out, n]
+    marks = np.flatnonzero((rolled & MASK) == 0) + 1
+    bounds = np.searchsorted(marks, ends).tolist()
+    marks, out, last, a = marks.tolist(), [], 0, 0
+    for stop, b in zip(ends, bounds, strict=True):
+        cuts = []
+        for end in (*marks[a:b], stop):
+            if end != stop and end - last < LEAST:
+                continue
+            while end - last > MOST:
+                last += MOST
+                cuts.append(last)
+            if end > last:
+                cuts.append(end)
+                last = end
+        out.append(cuts)
+        last, a = stop, b
+    return out
 
 
 def packed(ids: np.ndarray) -> bytes:
-    """A chunk as it is stored: one byte for the width, then deflated ids."""
-    wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
-    return (b"\4" if wide else b"\2") + zlib.compress(ids.astype("<u4" if wide else "<u2").tobytes(), 1)
+    """A chunk as it is stored: little-endian 16-bit ids, or 32-bit ids behind an
+    odd byte if some don't fit.  Parquet compresses them."""
+    if len(ids) and int(ids.max()) > 0xFFFF:
+        return b"\4" + ids.astype("<u4").tobytes()
+    return ids.astype("<u2").tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data[1:]), dtype="<u4" if data[:1] == b"\4" else "<u2").astype("<u4")
+    return np.frombuffer(data[1:], dtype="<u4") if len(data) % 2 else np.frombuffer(data, dtype="<u2").astype("<u4")
 
 
-def entries(docs: DataFrame, path: str, end_id: int, seen_most: int = 300_000) -> DataFrame:
+def entries(docs: DataFrame, path: str, end_id: int, seen_most: int = 200_000) -> DataFrame:
     """Chunk and recipe rows of each document.  A task sends a chunk again only
     after it has sent `seen_most` others; the store drops such repeats."""
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -101,25 +104,34 @@ def entries(docs: DataFrame, path: str, end_id: int, seen_most: int = 300_000) -
         for batch in slices(batches, "text"):
             kind, key, size, data, doc_ids, tie = [], [], [], [], [], []
 
-            def put(*row):
-                for column, x in zip((kind, key, size, data, doc_ids, tie), row, strict=True):
-                    column.append(x)
-
-            encoded = enc.encode([x or "" for x in batch.column("text").to_pylist()])
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
-                raw += end
-                ids, last, recipe = np.frombuffer(raw, dtype="<u4"), 0, []
-                for stop in cut_points(ids):
+            def put(k, name, n, held, doc, number):
+                kind.append(k)
+                key.append(name)
+                size.append(n)
+                data.append(held)
+                doc_ids.append(doc)
+                tie.append(number)
+
+            streams = [x + end for x in enc.encode([x or "" for x in batch.column("text").to_pylist()])]
+            raw = b"".join(streams)
+            ids, narrow = np.frombuffer(raw, dtype="<u4"), None
+            if not len(ids) or int(ids.max()) <= 0xFFFF:
+                narrow = ids.astype("<u2").tobytes()
+            ends = np.cumsum([len(x) // 4 for x in streams]).tolist()
+            last = 0
+            for doc, cuts, stream in zip(batch.column("doc_id").to_pylist(), cut_points(ids, ends), streams, strict=True):
+                recipe = []
+                for stop in cuts:
                     name = digest(raw[4 * last : 4 * stop])
                     recipe.append(name)
                     if name not in seen:
                         if len(seen) >= seen_most:
                             seen.clear()
                         seen.add(name)
-                        put(0, name, stop - last, packed(ids[last:stop]), None, 0)
+                        put(0, name, stop - last, packed(ids[last:stop]) if narrow is None else narrow[2 * last : 2 * stop], None, 0)
                     last = stop
                 serial += 1
-                put(1, merkle_root(recipe), len(ids), b"".join(recipe), doc, serial)
+                put(1, merkle_root(recipe), len(stream) // 4, b"".join(recipe), doc, serial)
             types = [pa.int8(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((kind, key, size, data, doc_ids, tie), types, strict=True)], ["kind", "key", "n", "data", "doc_id", "tie"])
 
@@ -144,7 +156,7 @@ class TokenStore:
         rows = rows.withColumn("tie", F.when(F.col("kind") == 1, F.monotonically_increasing_id()).otherwise(0))
         first = Window.partitionBy("kind", "key", "tie").orderBy("n")
         rows = rows.withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank")
-        rows.write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/entries")
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/entries")
 
         recipes = self.read("entries").where("kind = 1").select("doc_id", F.col("n").alias("n_tokens"), F.col("key").alias("root"), F.col("data").alias("digests"))
         recipes.repartitionByRange("doc_id", "root", F.rand(7)).sortWithinPartitions("doc_id", "root").select(

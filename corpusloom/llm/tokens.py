@@ -26,7 +26,7 @@ _LOADED: dict[str, Encoder] = {}
 class Encoder:
     """encode(texts) -> for each text its ids as little-endian u32 bytes."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -44,6 +44,24 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _parts(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts.  Parts of a blank and letters are encoded as one text, which
+        the tokenizer splits before each blank; the others one by one."""
+        spaced = [w for w in parts if w[0] == " " and w[1:].isalpha()]
+        rest = [w for w in parts if not (w[0] == " " and w[1:].isalpha())]
+        out = dict(zip(rest, self._whole(rest), strict=True)) if rest else {}
+        for i in range(0, len(spaced), 50_000):
+            some = spaced[i : i + 50_000]
+            e = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            ids, words = np.array(e.ids, dtype="<u4").tobytes(), np.array(e.word_ids)
+            starts = np.flatnonzero(np.diff(words, prepend=-1))
+            if len(starts) == len(some):
+                bounds = [*(4 * starts).tolist(), len(ids)]
+                out.update((w, ids[a:b]) for w, a, b in zip(some, bounds, bounds[1:], strict=False))
+            else:
+                out.update(zip(some, self._whole(some), strict=True))
+        return out
+
     def _cachable(self, text: str) -> bool:
         try:
             plain = not text.encode("latin-1").translate(None, _PLAIN)
@@ -61,19 +79,16 @@ class Encoder:
                 parts.append((i, self.split(text)))
             else:
                 rest.append(i)
-        get, late = self.known.get, []
+        known = self.known
+        new = set().union(*(words for _, words in parts)).difference(known)
+        fresh = self._parts(list(new))
+        known.update(fresh)
+        take = known.__getitem__
         for i, words in parts:
-            got = list(map(get, words))
-            try:
-                out[i] = b"".join(got)
-            except TypeError:  # some part isn't known yet
-                late.append((i, words, got))
-        new = list({w for _, words, got in late for w, x in zip(words, got, strict=True) if x is None})
-        fresh = dict(zip(new, self._whole(new), strict=True)) if new else {}
-        if len(self.known) + len(fresh) <= self.most:
-            self.known.update(fresh)
-        for i, words, got in late:
-            out[i] = b"".join([fresh[w] if x is None else x for w, x in zip(words, got, strict=True)])
+            out[i] = b"".join(map(take, words))
+        if len(known) > self.most:  # what came first stays: it is the most frequent
+            for w in fresh:
+                del known[w]
         for i, ids in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
             out[i] = ids
         return out
