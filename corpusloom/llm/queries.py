@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, token_store, toxicity, url_filter
+from . import decontamination, line_dedup, packing, token_store, toxicity, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.query,
     "op4_line_dedup": line_dedup.query,
+    "op5_decontamination": decontamination.query,
     "op7_toxicity": toxicity.query,
     "op8_token_store": token_store.query,
     "op10_packing": packing.query,
