@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, packing, token_store, toxicity, url_filter
+from . import decontamination, jaccard_join, line_dedup, packing, token_store, toxicity, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.query,
+    "op3_jaccard_join": jaccard_join.query,
     "op4_line_dedup": line_dedup.query,
     "op5_decontamination": decontamination.query,
     "op7_toxicity": toxicity.query,
