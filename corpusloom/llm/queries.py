@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, line_dedup, packing, token_store, toxicity, url_filter
+from . import decontamination, jaccard_join, line_dedup, packing, surrogates, token_store, toxicity, url_filter
 
 QUERIES = {
+    "op1_surrogates": surrogates.query,
     "op2_url_filter": url_filter.query,
     "op3_jaccard_join": jaccard_join.query,
     "op4_line_dedup": line_dedup.query,
