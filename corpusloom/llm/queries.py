@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, line_dedup, packing, surrogates, token_store, toxicity, url_filter
+from . import decontamination, jaccard_join, line_dedup, packing, surrogates, token_store, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_surrogates": surrogates.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_decontamination": decontamination.query,
     "op7_toxicity": toxicity.query,
     "op8_token_store": token_store.query,
+    "op9_warc": warc.query,
     "op10_packing": packing.query,
 }
-ORACLE_SQL = {"op4_line_dedup": line_dedup.SQL}
+ORACLE_SQL = {"op4_line_dedup": line_dedup.SQL, "op9_warc": warc.SQL}
