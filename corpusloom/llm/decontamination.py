@@ -6,7 +6,8 @@ passage is the weighted share of the item that it holds, and one threshold serve
 all items.  A document is read in strides; a passage is two strides, so an item no
 longer than a stride lies whole in some passage.  Pruning goes from coarse to fine:
 the sum over a passage's terms of the largest impact within a group of blocks, then
-within a block of items, bounds every score in it; only blocks whose bound reaches
+within a block of items, bounds every score in it (for terms of many items, also by
+the most that one item has of them); only blocks whose bound reaches
 the threshold are scored exactly.  What is retrieved is verified: the item's
 question (all but its last sentence) and answer (its last sentence) must both
 overlap with the passage in word n-grams.
@@ -64,7 +65,7 @@ def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
 class Shard:
     """Items of a bounded number of words with their impacts and block bounds."""
 
-    K1, B, BLOCK, GROUPS = 1.2, 0.75, 16, 16
+    K1, B, BLOCK, GROUPS, COMMON = 1.2, 0.75, 16, 16, 0.02
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = items
@@ -84,9 +85,15 @@ class Shard:
             self.impacts.append({t: x / own for t, x in raw.items()})
             for t, x in self.impacts[-1].items():
                 self.bounds[t, i // self.BLOCK] = max(self.bounds[t, i // self.BLOCK], x)
-        width = math.ceil(blocks / self.GROUPS)
-        self.coarse = np.stack([self.bounds[:, a : a + width].max(axis=1) for a in range(0, blocks, width)], axis=1)
-        self.width = width
+        self.width = width = math.ceil(blocks / self.GROUPS)
+        coarse = np.stack([self.bounds[:, a : a + width].max(axis=1) for a in range(0, blocks, width)], axis=1)
+        # Terms of many items bound little by their sum of maxima, which no single item
+        # has: what they give together is also bounded by the most that one item has.
+        self.common = np.array([df[w] > max(1, self.COMMON * len(items)) for w in sorted(df)])
+        most = [sum(x for t, x in impacts.items() if self.common[t]) for impacts in self.impacts]
+        self.most = np.array([max(most[a : a + self.BLOCK]) for a in range(0, len(items), self.BLOCK)])
+        self.coarse_most = np.array([self.most[a : a + width].max() for a in range(0, blocks, width)])
+        self.coarse = np.concatenate([np.where(self.common[:, None], coarse, 0), np.where(self.common[:, None], 0, coarse)], axis=1)
         self.parts = [question_answer(t) for _, t in items]
 
     def candidates(self, docs: list[list[str]], threshold: float) -> Iterator[tuple[int, int, int, float]]:
@@ -112,13 +119,16 @@ class Shard:
         doc_of = np.repeat(np.arange(len(docs)), strides)
         pairs = coarse[:-1].copy()
         pairs[:-1] += np.where((doc_of[1:] == doc_of[:-1])[:, None], coarse[1:-1], 0)
+        groups = len(self.coarse_most)
+        pairs = np.minimum(pairs[:, :groups], self.coarse_most) + pairs[:, groups:]
         for c in np.flatnonzero((pairs >= threshold - 1e-5).any(axis=1)).tolist():
             last = c + 1 if c + 1 < total and doc_of[c + 1] == doc_of[c] else c
             mine = terms[heads[c] : heads[last + 1]]
             distinct = np.unique(mine) if last > c else mine
-            held = None
+            held, often = None, self.common[distinct]
             for g in np.flatnonzero(pairs[c] >= threshold - 1e-5).tolist():
-                bound = self.bounds[distinct, g * self.width : (g + 1) * self.width].sum(axis=0)
+                fine = self.bounds[distinct, g * self.width : (g + 1) * self.width]
+                bound = np.minimum(fine[often].sum(axis=0), self.most[g * self.width : (g + 1) * self.width]) + fine[~often].sum(axis=0)
                 for b in np.flatnonzero(bound >= threshold - 1e-5).tolist():
                     first = (g * self.width + b) * self.BLOCK
                     for i in range(first, min(first + self.BLOCK, len(self.items))):
