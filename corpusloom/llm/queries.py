@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, line_dedup, packing, surrogates, token_store, toxicity, url_filter, warc
+from . import decontamination, flac, jaccard_join, line_dedup, packing, surrogates, token_store, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_surrogates": surrogates.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_jaccard_join": jaccard_join.query,
     "op4_line_dedup": line_dedup.query,
     "op5_decontamination": decontamination.query,
+    "op6_flac": flac.query,
     "op7_toxicity": toxicity.query,
     "op8_token_store": token_store.query,
     "op9_warc": warc.query,
