@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -138,6 +138,12 @@ def entries(docs: DataFrame, path: str, end_id: int, seen_most: int = 200_000) -
     return docs.mapInArrow(run, ENTRY)
 
 
+def digests_of(recipe: Column) -> Column:
+    """The digests that a recipe is made of, in order."""
+    at = F.sequence(F.lit(0), F.floor(F.octet_length(recipe) / DIGEST).cast("int") - 1)
+    return F.transform(at, lambda i: F.substring(recipe, i * DIGEST + 1, F.lit(DIGEST)))
+
+
 class TokenStore:
     """A written store; `path` is its folder."""
 
@@ -155,7 +161,8 @@ class TokenStore:
         rows = entries(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), tokenizer or tokens.default_path(), end_id)
         rows = rows.withColumn("tie", F.when(F.col("kind") == 1, F.monotonically_increasing_id()).otherwise(0))
         first = Window.partitionBy("kind", "key", "tie").orderBy("n")
-        rows = rows.withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank")
+        # lag, not a rank: tasks have dropped their own repeats, so no limit before the shuffle
+        rows = rows.withColumn("before", F.lag("kind").over(first)).where("before IS NULL").drop("before")
         rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/entries")
 
         recipes = self.read("entries").where("kind = 1").select("doc_id", F.col("n").alias("n_tokens"), F.col("key").alias("root"), F.col("data").alias("digests"))
@@ -200,19 +207,8 @@ class TokenStore:
 
         checked = self.chunks().mapInArrow(check, "key binary, n int, crc long, good boolean")
 
-        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                part, row, seq, key = [], [], [], []
-                for p, r, digests in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    names = [digests[i : i + DIGEST] for i in range(0, len(digests), DIGEST)]
-                    part += [p] * len(names)
-                    row += [r] * len(names)
-                    seq += range(len(names))
-                    key += names
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(row, pa.int64()), pa.array(seq, pa.int32()), pa.array(key, pa.binary())], ["part", "row", "seq", "key"])
-
         recipes = self.read("recipes")
-        uses = recipes.select("part", "row", "digests").mapInArrow(listed, "part int, row long, seq int, key binary")
+        uses = recipes.select("part", "row", F.posexplode(digests_of(F.col("digests"))).alias("seq", "key"))
         found = uses.join(checked, "key", "left")
         per_doc = found.groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("seq", "key", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc"), F.coalesce("good", F.lit(False)).alias("good")))).alias("uses"))
 
@@ -245,7 +241,7 @@ class TokenStore:
     def documents(self, doc_ids: DataFrame) -> DataFrame:
         """(doc_id, start, ids): whole id arrays of the wanted documents."""
         wanted = self.read("recipes").join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-        uses = wanted.select("part", "row", "doc_id", "start", F.posexplode(F.expr(f"transform(sequence(0, length(digests) div {DIGEST} - 1), i -> substring(digests, i * {DIGEST} + 1, {DIGEST}))")).alias("seq", "key"))
+        uses = wanted.select("part", "row", "doc_id", "start", F.posexplode(digests_of(F.col("digests"))).alias("seq", "key"))
         rows = uses.join(self.chunks().select("key", "data"), "key").groupBy("part", "row", "doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("uses"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,21 +40,24 @@ class Encoder:
         splits_by_itself = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         if splits_by_itself and not spec.get("normalizer") and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout"):
             self.split = _SPLIT
+            size = self.tokenizer.get_vocab_size()
+            self.blank_first = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _parts(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of parts.  Parts of a blank and letters are encoded as one text, which
-        the tokenizer splits before each blank; the others one by one."""
+        the tokenizer splits before each blank, so that a part's ids begin where an
+        id's string begins with a blank; the others are encoded one by one."""
         spaced = [w for w in parts if w[0] == " " and w[1:].isalpha()]
         rest = [w for w in parts if not (w[0] == " " and w[1:].isalpha())]
         out = dict(zip(rest, self._whole(rest), strict=True)) if rest else {}
         for i in range(0, len(spaced), 50_000):
             some = spaced[i : i + 50_000]
-            e = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            ids, words = np.array(e.ids, dtype="<u4").tobytes(), np.array(e.word_ids)
-            starts = np.flatnonzero(np.diff(words, prepend=-1))
+            (e,) = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)
+            ids = np.array(e.ids, dtype="<u4")
+            starts, ids = np.flatnonzero(self.blank_first[ids]), ids.tobytes()
             if len(starts) == len(some):
                 bounds = [*(4 * starts).tolist(), len(ids)]
                 out.update((w, ids[a:b]) for w, a, b in zip(some, bounds, bounds[1:], strict=False))
