@@ -1,0 +1,3 @@
+"""Queries and the report."""
+
+from . import queries as queries
