@@ -82,10 +82,10 @@ class Model:
 
     def ratios(self, words: list[str]) -> np.ndarray:
         memo = self.memo
+        if len(memo) > 300_000:  # before anything is looked up: all words of a text stay in it
+            memo.clear()
         got = list(map(memo.get, words))
         if None in got:
-            if len(memo) > 300_000:
-                memo.clear()
             for i, x in enumerate(got):
                 if x is None:
                     got[i] = memo[words[i]] = self.ratio(words[i])
@@ -139,7 +139,7 @@ def shared_counts(docs: DataFrame, text: str, bits: int) -> np.ndarray:
     return out
 
 
-def class_counts(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
+def class_counts(sample: DataFrame) -> DataFrame:
     """Forms of the sample with the number of documents by class that hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
