@@ -148,37 +148,56 @@ def blocks_of(tokens: np.ndarray) -> list[tuple[int, int, int, int]]:
     return [tuple(b) for b in out]
 
 
-def subtree_signatures(tokens: np.ndarray, blocks: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int] | None]:
-    """(hash, second hash, length) of each block, children standing as one marker
-    and their hash; None for empty and open blocks."""
-    mask, base = (1 << 64) - 1, int(POLY)
-    children: list[list[int]] = [[] for _ in blocks]
-    for i, b in enumerate(blocks):
-        if b[3] >= 0:
-            children[b[3]].append(i)
-    out: list[tuple[int, int, int] | None] = [None] * len(blocks)
-    for i in sorted(range(len(blocks)), key=lambda i: -blocks[i][2]):
-        start, end = blocks[i][0] + 1, blocks[i][1]
-        if end <= start:
-            continue
-        h1, h2, length, at = int(BASIS), 0, 0, start
-
-        def put(v: int, width: int) -> None:
-            nonlocal h1, h2, length
-            for b in v.to_bytes(width, "little"):
-                h1 = ((h1 ^ b) * int(PRIME)) & mask
-            h2, length = (h2 * base + v + 1) & mask, length + 1
-
-        for c in [*children[i], None]:
-            stop = end if c is None else min(blocks[c][0], end)
-            for v in tokens[at:stop].tolist():
-                put(v, 4)
-            at = max(at, stop)
-            if c is not None and at == blocks[c][0]:
-                put(CHILD, 4)
-                put(out[c][0] if out[c] else 0, 8)
+def poly_many(rows: list[np.ndarray]) -> np.ndarray:
+    """Polynomial hash of each whole row of 64-bit values, all rows at once."""
+    out = np.zeros(len(rows), dtype=np.uint64)
+    size = np.array([len(r) for r in rows])
+    if not size.sum():
+        return out
+    order = np.argsort(-size, kind="stable")
+    flat = np.concatenate(rows).astype(np.uint64) + np.uint64(1)
+    at, left = (np.cumsum(size) - size)[order], size[order]
+    h, live = np.zeros(len(rows), dtype=np.uint64), len(rows)
+    with np.errstate(over="ignore"):
+        for i in range(int(left[0])):
+            while live and left[live - 1] <= i:
+                live -= 1
+            h[:live] = h[:live] * POLY + flat[at[:live] + i]
+    out[order] = h
+    return out
+
+
+def subtree_signatures(files: list[tuple[np.ndarray, list[tuple[int, int, int, int]]]]) -> list[list[tuple[int, int, int] | None]]:
+    """(hash, second hash, length) of each block of each file, given as tokens and
+    blocks.  A child stands as a marker and its hash of eight bytes; None for empty
+    and open blocks.  Blocks of one depth are hashed together, the deepest first."""
+    out: list[list[tuple[int, int, int] | None]] = [[None] * len(blocks) for _, blocks in files]
+    children: list[list[list[int]]] = [[[] for _ in blocks] for _, blocks in files]
+    levels: dict[int, list[tuple[int, int]]] = {}
+    for f, (_, blocks) in enumerate(files):
+        for i, (start, end, depth, parent) in enumerate(blocks):
+            if parent >= 0:
+                children[f][parent].append(i)
+            if end > start + 1:
+                levels.setdefault(depth, []).append((f, i))
+    marker = np.array([CHILD], dtype="<u4")
+    for depth in sorted(levels, reverse=True):
+        coded, values = [], []
+        for f, i in levels[depth]:
+            tokens, blocks = files[f]
+            at, end = blocks[i][0] + 1, blocks[i][1]
+            raw, own = [], []
+            for c in children[f][i]:
+                part = tokens[at : blocks[c][0]].astype("<u4")
+                child = np.array([out[f][c][0] if out[f][c] else 0], dtype="<u8")
+                raw += [part.view(np.uint8), marker.view(np.uint8), child.view(np.uint8)]
+                own += [part, marker, child]
                 at = blocks[c][1] + 1
-        out[i] = (h1, h2, length)
+            part = tokens[at:end].astype("<u4")
+            coded.append(np.concatenate([*raw, part.view(np.uint8)]))
+            values.append(np.concatenate([x.astype(np.uint64) for x in [*own, part]]))
+        for (f, i), h1, h2, v in zip(levels[depth], fnv_many(coded, 1).tolist(), poly_many(values).tolist(), values, strict=True):
+            out[f][i] = (h1, h2, len(v))
     return out
 
 

@@ -27,17 +27,20 @@ def blocks(tokens: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for file, repo, data, lines in zip(*(batch.column(n).to_pylist() for n in ("file_id", "repo_id", "symbols", "lines")), strict=True):
-                t = np.frombuffer(data, "<u4")
-                found = kernels.blocks_of(t)
-                inner = [t[s + 1 : e] for s, e, _, _ in found]
-                hashes = kernels.fnv_many(inner, 4)
-                for i, ((s, e, depth, parent), sig, h) in enumerate(zip(found, kernels.subtree_signatures(t, found), hashes, strict=True)):
-                    if sig:
-                        rows.append((file, repo, i, parent, depth, s, e, lines[s], lines[e], e - s - 1, hashlib.blake2b(t[s + 1 : e].tobytes(), digest_size=16).hexdigest(), text.hex64(h), text.hex64(sig[0]), text.hex64(sig[1]), sig[2]))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                read = [np.frombuffer(x, "<u4") for x in part.column("symbols").to_pylist()]
+                found = [(t, kernels.blocks_of(t)) for t in read]
+                trees = kernels.subtree_signatures(found)
+                hashes = iter(kernels.fnv_many([t[s + 1 : e] for t, own in found for s, e, _, _ in own], 4).tolist())
+                rows = []
+                for file, repo, lines, (t, own), signatures in zip(*(part.column(n).to_pylist() for n in ("file_id", "repo_id", "lines")), found, trees, strict=True):
+                    for i, ((s, e, depth, parent), sig, h) in enumerate(zip(own, signatures, hashes, strict=False)):
+                        if sig:
+                            key = hashlib.blake2b(t[s + 1 : e].tobytes(), digest_size=16).hexdigest()
+                            rows.append((file, repo, i, parent, depth, s, e, lines[s], lines[e], e - s - 1, key, text.hex64(h), text.hex64(sig[0]), text.hex64(sig[1]), sig[2]))
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return tokens.select("file_id", "repo_id", "symbols", "lines").mapInArrow(run, BLOCK)
 

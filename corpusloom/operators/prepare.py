@@ -44,16 +44,17 @@ def line_symbols(files: DataFrame) -> DataFrame:
     """Lines that have code characters, each a folded hash, with numbers and lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for lines in batch.column("lines").to_pylist():
-                kept = [(i + 1, np.frombuffer(x.encode(), np.uint8)) for i, x in enumerate(lines) if x]
-                h = kernels.fnv_many([x for _, x in kept], 4)
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):  # lines of many files are hashed together
+                batch = whole.slice(a, 500)
+                files = [[(i + 1, x) for i, x in enumerate(lines) if x] for lines in batch.column("lines").to_pylist()]
+                h = kernels.fnv_many([np.frombuffer(x.encode(), np.uint8) for kept in files for _, x in kept], 4)
                 folded = ((h & np.uint64(0xFFFFFFFF)) ^ (h >> np.uint64(32))).astype("<u4")
-                out.append((folded.tobytes(), [i for i, _ in kept], [len(x) for _, x in kept]))
-            columns = list(zip(*out, strict=True)) if out else [[], [], []]
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("repo_id"), *arrays], ["file_id", "repo_id", "symbols", "lines", "sizes"])
+                ends = np.cumsum([len(kept) for kept in files])
+                symbols = [folded[e - len(kept) : e].tobytes() for kept, e in zip(files, ends, strict=True)]
+                numbers, sizes = [[i for i, _ in kept] for kept in files], [[len(x) for _, x in kept] for kept in files]
+                arrays = [pa.array(symbols, pa.binary()), pa.array(numbers, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("repo_id"), *arrays], ["file_id", "repo_id", "symbols", "lines", "sizes"])
 
     each = F.transform(F.split(lossy(F.col("content")), "\n"), text.code_chars)
     return files.select("file_id", "repo_id", each.alias("lines")).mapInArrow(run, SYMBOLS)
