@@ -213,13 +213,31 @@ def shingle_bases(tokens: np.ndarray, size: int = 5) -> np.ndarray:
     return h
 
 
-def minhash(tokens: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    base = shingle_bases(tokens)
+def minhash_many(rows: list[np.ndarray], numbers: np.ndarray) -> np.ndarray:
+    """[row, number]: MinHash slots of token rows of at least five tokens each."""
+    bases = [shingle_bases(r) for r in rows]
+    flat = np.concatenate(bases)
+    heads = np.cumsum([0, *[len(b) for b in bases[:-1]]])
     low = np.uint64(0xFFFFFFFF)
-    return np.array([(splitmix(base ^ s) & low).min() for s in numbers], dtype=np.uint32)
+    return np.stack([np.minimum.reduceat(splitmix(flat ^ s) & low, heads) for s in numbers], axis=1)
+
+
+def simhash_many(rows: list[np.ndarray]) -> list[int]:
+    """SimHash of each token row; a bit is set if more than half of the shingles have it."""
+    bases = [shingle_bases(r) for r in rows]
+    h = splitmix(np.concatenate(bases))
+    size = np.array([len(b) for b in bases])
+    heads = np.cumsum(size) - size
+    out = np.zeros(len(rows), dtype=np.uint64)
+    for b in range(64):
+        ones = np.add.reduceat((h >> np.uint64(b) & np.uint64(1)).astype(np.int64), heads)
+        out |= (2 * ones > size).astype(np.uint64) << np.uint64(b)
+    return [int(x) for x in out]
+
+
+def minhash(tokens: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    return minhash_many([tokens], numbers)[0]
 
 
 def simhash(tokens: np.ndarray) -> int:
-    h = splitmix(shingle_bases(tokens))
-    ones = [int((h >> np.uint64(b) & np.uint64(1)).sum(dtype=np.int64)) for b in range(64)]
-    return sum(1 << b for b, n in enumerate(ones) if 2 * n > len(h))
+    return simhash_many([tokens])[0]

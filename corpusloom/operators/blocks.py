@@ -74,17 +74,20 @@ def signed_blocks(tokens: DataFrame, min_token_len: int = 50, max_depth: int = 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = kernels.seeds(size)
-        for batch in batches:
-            rows = []
-            for file, repo, data, lines in zip(*(batch.column(n).to_pylist() for n in ("file_id", "repo_id", "symbols", "lines")), strict=True):
-                t = np.frombuffer(data, "<u4")
-                for i, (s, e, depth, _) in enumerate(kernels.blocks_of(t)):
-                    if depth <= max_depth and e - s - 1 >= max(5, min_token_len):
-                        sim = kernels.simhash(t[s + 1 : e])
-                        rows.append((file, repo, i, lines[s], lines[e], kernels.minhash(t[s + 1 : e], numbers).tolist(), sim - (1 << 64) if sim >> 63 else sim))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64()]
+        for whole in batches:
+            for a in range(0, whole.num_rows, 100):
+                batch, rows, inner = whole.slice(a, 100), [], []
+                for file, repo, data, lines in zip(*(batch.column(n).to_pylist() for n in ("file_id", "repo_id", "symbols", "lines")), strict=True):
+                    t = np.frombuffer(data, "<u4")
+                    for i, (s, e, depth, _) in enumerate(kernels.blocks_of(t)):
+                        if depth <= max_depth and e - s - 1 >= max(5, min_token_len):
+                            rows.append((file, repo, i, lines[s], lines[e]))
+                            inner.append(t[s + 1 : e])
+                if rows:
+                    sims = [x - (1 << 64) if x >> 63 else x for x in kernels.simhash_many(inner)]
+                    columns = [*zip(*rows, strict=True), kernels.minhash_many(inner, numbers).astype(np.int64).tolist(), sims]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
     return tokens.select("file_id", "repo_id", "symbols", "lines").mapInArrow(run, schema)
 

@@ -18,8 +18,11 @@ SYMBOLS = "file_id long, repo_id int, symbols binary, lines array<int>, sizes ar
 def numbered(corpus: DataFrame) -> DataFrame:
     """`corpus` with file_id.  It is the hash of (repo_id, path): no global order is
     needed, and it is the same in every run.  Two files share an id only if they
-    share both, which a scan rules out."""
-    return corpus.withColumn("file_id", F.xxhash64("repo_id", "path"))
+    share both, which a scan rules out.  Files are dealt by it, once: kernels are
+    bound by CPU, and a table of a few large row groups would keep a few cores busy."""
+    spark = corpus.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return corpus.withColumn("file_id", F.xxhash64("repo_id", "path")).repartition(parts, "file_id")
 
 
 def lossy(content) -> F.Column:
