@@ -126,7 +126,20 @@ def _prints(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, Dat
     return docs, symbols, params
 
 
-@register("line_fingerprints")
+LINE_TOKENS_SQL = f"""{CORPUS}, l AS (SELECT repo_id, path, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS line_no FROM corpus),
+c AS (SELECT repo_id, path, line_no, regexp_replace(line, '[^A-Za-z0-9_]', '', 'g') AS chars FROM l),
+h AS (SELECT repo_id, path, line_no, ('0x' || {fnv_sql("chars", 4)})::UBIGINT AS h FROM c WHERE chars <> ''),
+t AS (SELECT repo_id, path, xor(h & 4294967295, h >> 32)::BIGINT AS token, row_number() OVER (PARTITION BY repo_id, path ORDER BY line_no) - 1 AS pos FROM h)"""
+
+
+@register(
+    "line_fingerprints",
+    f"""WITH {LINE_TOKENS_SQL},
+g AS (SELECT repo_id, path, pos, (token + 1) * 911382323 + lead(token) OVER (PARTITION BY repo_id, path ORDER BY pos) + 1 AS h FROM t),
+w AS (SELECT repo_id, path, pos AS last, min({{'h': h, 'back': -pos}}) OVER (PARTITION BY repo_id, path ORDER BY pos ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS m
+      FROM g WHERE h IS NOT NULL)
+SELECT DISTINCT repo_id, path, (-m.back)::INTEGER AS pos, lower(lpad(to_hex(m.h), 16, '0')) AS hash FROM w WHERE last >= 7""",
+)
 def line_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, symbols, params = _prints(spark, sf_dir, "line")
     found = spans.fingerprints(symbols, params).join(docs.select("file_id", "path"), "file_id")
@@ -207,7 +220,27 @@ def brace_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(opened, "file_id").join(names, "file_id").select("repo_id", "path", "n_blocks", "max_depth")
 
 
-@register("block_dup_groups")
+# Tokens of each inner block (a line) and of each function, as lists of numbers.
+BLOCKS_SQL = f"""{CODE_SQL}, w AS (
+  SELECT repo_id, path, list_transform(regexp_extract_all(body, '[A-Za-z_][A-Za-z0-9_]*|[0-9][0-9.]*|[^ \\t\\n\\f\\r]'), lambda x:
+    CASE WHEN x = 'function' THEN [115] WHEN x = 'if' THEN [100] WHEN x = 'fn' THEN [114] WHEN x = 'try' THEN [110] WHEN regexp_matches(x, '^[A-Za-z_]') THEN [1]
+         WHEN regexp_matches(x, '^[0-9]') THEN [2] ELSE list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda b: 10000 + ('0x' || b)::INTEGER) END) AS parts FROM code),
+o AS (SELECT repo_id, path, flatten(parts) AS toks FROM w),
+e AS (SELECT repo_id, path, toks, unnest(list_filter(list_transform(range(1, len(toks) + 1), lambda i: CASE WHEN toks[i] = 10123 THEN i END), lambda i: i IS NOT NULL)) AS opening FROM o),
+inner_ AS (SELECT repo_id, path, list_slice(toks, opening + 1, opening + list_position(list_slice(toks, opening + 1, len(toks)), 10125) - 1) AS toks FROM e
+           WHERE opening > list_position(toks, 10123)),
+outer_ AS (SELECT repo_id, path, list_slice(toks, list_position(toks, 10123) + 1, len(toks) - 1) AS toks FROM o),
+b AS (SELECT * FROM inner_ UNION ALL SELECT * FROM outer_)"""
+_U32 = "flatten(list_transform(toks, lambda t: [t & 255, (t >> 8) & 255, (t >> 16) & 255, t >> 24]))"
+
+
+@register(
+    "block_dup_groups",
+    f"""WITH {BLOCKS_SQL},
+g AS (SELECT toks, count(*) AS n_members, count(DISTINCT repo_id) AS n_repos FROM b WHERE len(toks) >= 50 GROUP BY toks HAVING count(*) > 1)
+SELECT lower(lpad(to_hex(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform({_U32}, lambda v: v::UHUGEINT)), lambda h, x: {_STEP})::UBIGINT), 16, '0')) AS hash,
+       len(toks) AS normalized_len, n_members, n_repos FROM g""",
+)
 def block_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tokens = _code(spark, sf_dir)
     return blocks.duplicate_blocks(tokens, docs, OPTIONS.min_token_len).select("hash", "normalized_len", "n_members", "n_repos")
