@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        folder = tempfile.mkdtemp(prefix="corpusloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN[app] = f"file://{folder}"
     return _OWN[app]
 
 
@@ -38,7 +42,7 @@ class Stage:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str, codec: str = "zstd", columns: list[str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write once and return a reader of the written table."""
         path = self.path(name)
         df.write.mode("overwrite").option("compression", codec).parquet(path)
