@@ -26,7 +26,7 @@ _LOADED: dict[str, Encoder] = {}
 class Encoder:
     """encode(texts) -> for each text its ids as little-endian u32 bytes."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
