@@ -16,7 +16,8 @@ together; all others are digested where they were read.
 Defined cases.  Null html: empty payload.  Null url: no target URI.  Control
 characters and blanks of a url are percent-encoded in the header.  Null page_id:
 a response, never a revisit and never referred to.  Repeated page_ids: the rows of
-the largest id are all responses.  Empty tables give no archive, and no rows.
+the largest id are all responses; rows of one id with other contents are told apart
+by digest, in writing and in reading.  Empty tables give no archive, and no rows.
 Offsets are 64 bits; what one group holds is a number or two for each piece of one
 archive file, whose size the writer's partitions bound.
 """
@@ -56,11 +57,11 @@ def records(pages: DataFrame, revisit_bytes: int = 1000, page_id: str = "page_id
     large = rows.where((F.octet_length("html") >= revisit_bytes) & F.col("page_id").isNotNull()).select("page_id", "sha1")
     first = large.groupBy("sha1").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # only pages that revisit another: a small part of most crawls, so the pages themselves need not move
-    again = large.join(first.select("sha1", "kept"), "sha1").where("page_id < kept").select("page_id", "kept").distinct()
+    again = large.join(first.select("sha1", "kept"), "sha1").where("page_id < kept").select("page_id", "sha1", "kept").distinct()
     if again.count() <= BROADCAST_ROWS:
         again = F.broadcast(again)
-    rows = rows.join(again, "page_id", "left")
-    revisit = F.col("kept").isNotNull() & (F.octet_length("html") >= revisit_bytes)
+    rows = rows.join(again, ["page_id", "sha1"], "left")  # by content too: one page_id can have several
+    revisit = F.col("kept").isNotNull()
     body = F.when(revisit, F.lit("HTTP/1.1 200 OK\r\n\r\n")).otherwise(F.concat(F.lit(HTTP), F.col("html")))
     uri = F.coalesce(F.concat(F.lit("WARC-Target-URI: "), header_url(F.col("url")), F.lit("\r\n")), F.lit(""))
     named = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -183,7 +184,8 @@ def chained(found: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(file, offset, page_id, record_type, payload_bytes, payload_digest, refers_to,
     intact) of every record that the chains reach.  A revisit's payload is that of
-    the record it refers to; `intact` compares digests in headers with payloads."""
+    the record it refers to, of the one with its digest if several have that id;
+    `intact` compares digests in headers with payloads."""
     stage = Stage(spark, "warc-read")
     found = stage.write(candidates(pieces(spark, path)), "candidates")
     chain = stage.write(chained(found), "chain")
@@ -223,9 +225,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
     rows = rows.select("file", "offset", number(F.col("page")).alias("page_id"), F.col("kind").alias("record_type"), "payload_bytes", F.col("found").alias("made"), F.regexp_replace("digest", "^sha1:", "").alias("said"), number(F.col("refers")).alias("refers_to"))
     rows = stage.write(rows, "rows")
-    first = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("to")).agg(F.max(F.struct("payload_bytes", "made")).alias("o"))
-    again = rows.where("record_type = 'revisit'").join(first, F.col("refers_to") == F.col("to"), "left")
-    again = again.withColumns({"payload_bytes": F.col("o.payload_bytes"), "made": F.col("o.made")}).drop("to", "o")
+    held = rows.where("record_type = 'response'").select(F.col("page_id").alias("to"), "payload_bytes", "made", "said")
+    first = held.groupBy("to").agg(F.max(F.struct("payload_bytes", "made")).alias("o"))
+    # by the digest that a response has or claims; a revisit whose digest none of them has gets the largest payload, and isn't intact
+    same = held.withColumn("digest", F.explode(F.array_distinct(F.array("made", "said"))))
+    same = same.groupBy("to", "digest").agg(F.max(F.struct((F.col("made") == F.col("digest")).alias("has"), "payload_bytes", "made")).alias("s"))
+    again = rows.where("record_type = 'revisit'").join(same.withColumnRenamed("to", "same_to"), (F.col("refers_to") == F.col("same_to")) & (F.col("said") == F.col("digest")), "left")
+    again = again.join(first, F.col("refers_to") == F.col("to"), "left")
+    again = again.withColumns({"payload_bytes": F.coalesce("s.payload_bytes", "o.payload_bytes"), "made": F.coalesce("s.made", "o.made")}).drop("to", "o", "same_to", "digest", "s")
     both = rows.where("record_type = 'response'").unionByName(again)
     return both.select("file", "offset", "page_id", "record_type", "payload_bytes", F.col("made").alias("payload_digest"), "refers_to", F.coalesce(F.col("made") == F.col("said"), F.lit(False)).alias("intact"))
 

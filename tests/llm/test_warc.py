@@ -70,6 +70,14 @@ def test_empty_and_repeated_tables(spark):
     assert [r[3:] for r in through(spark, twice)] == [("revisit", 1), ("response", None), ("response", None)]
 
 
+def test_one_page_id_with_several_contents(spark):
+    a, b, c, d = ("abcd"[i] * (1500 + i) for i in range(4))
+    # page 5: a copy of 9's, a content of its own, and a copy of another holder's; page 9 itself has two contents that others share
+    pages = [(5, "u", a), (5, "u", b), (5, "u", c), (7, "u", c), (9, "u", a), (9, "u", d), (8, "u", d), (5, "u", "short")]
+    assert through(spark, pages) == brute(pages)
+    assert len(through(spark, pages, 1)) == len(pages)
+
+
 def test_query_and_sql_agree(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
