@@ -7,7 +7,9 @@ digit, Luhn validity).  Names after an honorific keep its gender and their scrip
 One canonical form has one surrogate everywhere, however it is written, so mentions
 that agree still agree.  All distinct entities are checked together: a surrogate
 that two of them share, or that is itself an entity of the corpus, is made again
-with the next attempt, until none is left.
+with the next attempt, until none is left.  Surrogate names get a syllable more with
+each attempt, so any number of distinct names finds room; the other types keep their
+length, and more entities than a format has forms are an error.
 
 Only documents with entities are written in between; the others pass through.
 Mentions are reduced to the distinct entities of a document before any shuffle by
@@ -64,6 +66,7 @@ PATTERNS = {
 FOUND = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Every match of FOUND holds one of these: a text without them is clean.
 HINT = rf"[@0-9]|(?i:AKIA|ASIA)[0-9A-Za-z]{{16}}|{_TITLES}"
+ROUNDS = 20
 # How many leading characters of a canonical form are kept.
 KEPT = {"access": 4, "iban": 2, "phone": 1, "card": 1}
 
@@ -132,7 +135,8 @@ def with_made(entities: DataFrame, key: str) -> DataFrame:
     seed = F.concat_ws("\x1f", F.lit(key), kind, canon, F.col("attempt").cast("string"))
     blocks = F.sequence(F.lit(0), F.ceil(F.length(canon) / 32).cast("int"))
     out = entities.withColumn("hexed", F.array_join(F.transform(blocks, lambda i: F.sha2(F.concat_ws("\x1f", seed, i.cast("string")), 512)), ""))
-    each = F.sequence(F.lit(0), F.greatest(F.length(canon), F.lit(8)))
+    syllables_most = 4 + ROUNDS  # of a surname at the last attempt; `hexed` has at least 64 numbers
+    each = F.sequence(F.lit(0), F.greatest(F.length(canon), F.lit(syllables_most)))
     out = out.withColumn("nums", F.transform(each, lambda i: F.conv(F.substring(F.col("hexed"), i * 4 + 1, F.lit(4)), 16, 10).cast("int")))
     hexes = (kind == "hex") | ((kind == "secret") & F.rlike(canon, F.lit("^[0-9a-fA-F]+$")))
     out = out.withColumn("letters", F.when(hexes, "abcdef").otherwise("abcdefghijklmnopqrstuvwxyz"))
@@ -153,7 +157,8 @@ def with_made(entities: DataFrame, key: str) -> DataFrame:
     )
     for script, syllables in SYLLABLES.items():
         pool = F.array(*[F.lit(x) for x in syllables])
-        stem = lambda n, pool=pool: F.concat(*[F.element_at(pool, _number(F.lit(i)) % 16 + 1) for i in range(n)])
+        # 16 times the names with each attempt
+        stem = lambda n, pool=pool: F.array_join(F.transform(F.slice("nums", F.lit(1), F.col("attempt") + n), lambda x: F.element_at(pool, x % 16 + 1)), "")
         made = made.when(kind == f"surname-{script}", stem(4))
         for gender in "mf":
             made = made.when(kind == f"given-{gender}-{script}", F.concat(stem(3), F.lit(ENDINGS[gender, script])))
@@ -191,7 +196,7 @@ def replaced(raw: Column, made: Column) -> Column:
     )
 
 
-def made_apart(entities: DataFrame, key: str, stage: Stage, rounds: int = 20) -> DataFrame:
+def made_apart(entities: DataFrame, key: str, stage: Stage, rounds: int = ROUNDS) -> DataFrame:
     """(type, canon, made): a surrogate for each entity, no two of a type alike and
     none an entity itself.  Only a count comes to the driver."""
     now = stage.write(with_made(entities.withColumn("attempt", F.lit(0)), key), "made-0")

@@ -3,6 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from corpusloom.llm import surrogates as S
+from corpusloom.llm.common import Stage
 
 KEY = "test key"
 
@@ -72,6 +73,20 @@ def test_collisions_are_resolved(spark):
     assert [r.text for r in rows[:20]] == [r.text for r in rows[20:]]
 
 
+def test_more_names_than_short_forms(spark):
+    """5,200 given names of one gender (three syllables make 4,096) and 70,000 surnames (four make 65,536)."""
+    letters = "bcdfghjk"
+    spelt = lambda i: "Q" + "".join(letters[i >> 3 * k & 7] for k in range(5))
+    names = [spelt(i) for i in range(5200)]
+    texts = [", ".join(f"Mr. {n} Smith" for n in names[i : i + 100]) for i in range(0, len(names), 100)]
+    new = [m.split() for r in rewritten(spark, *texts, texts[0]) for m in r.text.split(", ")]
+    assert len({given for _, given, _ in new}) == 5200 and len({surname for _, _, surname in new}) == 1
+    assert not {given for _, given, _ in new} & set(names) and new[:100] == new[5200:]
+    many = spark.range(70_000).select(F.lit("surname-greek").alias("type"), F.concat(F.lit("q"), F.col("id").cast("string")).alias("canon"))
+    made = S.made_apart(many, KEY, Stage(spark, "t"))
+    assert made.agg(F.count("*"), F.countDistinct("canon"), F.countDistinct("made")).first()[:] == (70_000,) * 3
+
+
 def test_clean_text_stays(spark):
     clean = ["In 2019 there were 4500 people, 3.5 each.", "", "version 1.2.3 of a@b", "Mr. and Mrs. of the", "a" * 70_000]
     assert [r.text for r in rewritten(spark, *clean)] == clean
