@@ -228,7 +228,6 @@ def fit(
     ordinary_docs: int = 8000,
     bits: int = 18,
     discounts: tuple[float, ...] = (0.0, 0.75, 1.2, 1.5),
-    pairs_most: int = 50_000,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> Model:
@@ -250,9 +249,7 @@ def fit(
     try:
         kinds = [F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds") for c in ("ordinary", "toxic")]
         totals = counts.groupBy("level").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), *kinds).toPandas()
-        often = counts.where("ordinary + toxic >= 2")
-        top = often.where(F.col("level") == PAIR).orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "form").limit(pairs_most)
-        kept = often.where(F.col("level") != PAIR).unionByName(top).toPandas().sort_values(["level", "form"])
+        kept = counts.where("ordinary + toxic >= 2").toPandas().sort_values(["level", "form"])
     finally:
         counts.unpersist()
     model = Model(*chained(kept, totals, shared, bits, discounts))

@@ -76,3 +76,13 @@ def test_rare_words_decide_nothing(spark):
     model = T.fit(docs, labels)
     assert model.ratio("zzzzzzzz") == 0.0
     assert model.ratio("vilest") > 2 and model.ratio("grumbazzz") > 1
+
+
+def test_every_pair_that_occurs_twice_is_kept(spark):
+    rng = random.Random(5)
+    words = ["w" + "".join(rng.choices("abcdefghij", k=3)) for _ in range(60_000)]
+    held = set(zip(words, words[1:], strict=False))
+    assert len(held) > 50_000
+    docs = spark.createDataFrame([(i, " ".join(words) if i < 12 else "something short") for i in range(24)], "doc_id long, text string")
+    model = T.fit(docs, docs.select("doc_id", (F.col("doc_id") >= 12).cast("int").alias("toxic")))
+    assert {(v, w) for v, after in model.pairs.items() for w in after} >= held
