@@ -16,8 +16,8 @@ probability.
 
 What is bounded: the classifier learns from at most `toxic_docs` and
 `ordinary_docs` labelled rows (those with the smallest hash of doc_id), and the
-model keeps forms that occur twice in them.  The shared counts cover every word of
-every document, added up in `2 ** bits` buckets a level.
+model keeps forms that occur twice in them.  The shared counts are taken over every
+document, exactly, for each form that the model keeps and those it backs off to.
 
 Defined cases.  Null or empty text, or one without letters: the score of a text
 whose differences are all 0.  Rows with one doc_id are scored each for itself.
@@ -30,7 +30,6 @@ named are passed on; names in use are replaced.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -57,8 +56,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def bucket(level: int, form: str, bits: int) -> int:
-    return level << bits | (zlib.crc32(form.encode("utf-8", "surrogatepass"), level) & ((1 << bits) - 1))
+def asked(kept: pd.DataFrame) -> list[set[str]]:
+    """By level, the forms that are kept and those they back off to."""
+    of = lambda level: set(kept[kept.level == level].form)
+    words = of(WORD)
+    sixes = of(SIX) | {w[:6] for w in words}
+    return [words, sixes, of(FOUR) | {w[:4] for w in sixes}]
 
 
 @dataclass
@@ -116,27 +119,35 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights, -30, 30))))
 
 
-def shared_counts(docs: DataFrame, text: str, bits: int) -> np.ndarray:
-    """[level, bucket]: documents that hold a form, over all documents.  Each task
-    adds up its own documents before anything is shuffled."""
+def shared_counts(docs: DataFrame, text: str, forms: list[set[str]]) -> tuple[list[dict[str, int]], int]:
+    """By level, how many documents hold each of `forms`, over all documents, and the
+    sum over all words.  Each task adds up its own documents before anything is
+    shuffled; forms that the model doesn't ask for only enter the sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(3 << bits, dtype=np.int64)
+        held: list[Counter] = [Counter(), Counter(), Counter()]
+        total = 0
         for batch in slices(batches, "text"):
             seen: Counter = Counter()
             for x in batch.column("text").to_pylist():
                 seen.update(set(words_of(x)))
             for word, n in seen.items():
-                held[bucket(WORD, word, bits)] += n
-                held[bucket(SIX, word[:6], bits)] += n
-                held[bucket(FOUR, word[:4], bits)] += n
-        used = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(held[used], pa.int64())], ["slot", "n"])
-
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(3 << bits)
-    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
-    return out
+                for level, form in ((WORD, word), (SIX, word[:6]), (FOUR, word[:4])):
+                    if form in forms[level]:
+                        held[level][form] += n
+            total += seen.total()
+        rows = [(level, form, n) for level in (WORD, SIX, FOUR) for form, n in held[level].items()] + [(FOUR, None, total)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int8(), pa.string(), pa.int64()), strict=True)], ["level", "form", "n"])
+
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "level byte, form string, n long").groupBy("level", "form").agg(F.sum("n").alias("n")).toArrow()
+    out: list[dict[str, int]] = [{}, {}, {}]
+    total = 0
+    for level, form, n in zip(*(rows.column(c).to_pylist() for c in ("level", "form", "n")), strict=True):
+        if form is None:
+            total = n
+        else:
+            out[level][form] = n
+    return out, total
 
 
 def class_counts(sample: DataFrame) -> DataFrame:
@@ -161,11 +172,11 @@ def class_counts(sample: DataFrame) -> DataFrame:
     return sample.select("toxic", "text").mapInArrow(run, "level byte, form string, ordinary long, toxic long").groupBy("level", "form").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def chained(kept: pd.DataFrame, totals: pd.DataFrame, shared: np.ndarray, bits: int, discounts: tuple[float, ...]) -> tuple[list[dict[str, float]], dict[str, dict[str, float]]]:
+def chained(kept: pd.DataFrame, totals: pd.DataFrame, shared: list[dict[str, int]], everything: float, discounts: tuple[float, ...]) -> tuple[list[dict[str, float]], dict[str, dict[str, float]]]:
     """Log ratios of the forms that are kept, level by level from the shared counts."""
     size = {(r.level, c): max(1.0, getattr(r, c)) for r in totals.itertuples() for c in ("ordinary", "toxic")}
     kinds = {(r.level, c): getattr(r, f"{c}_kinds") for r in totals.itertuples() for c in ("ordinary", "toxic")}
-    everything = max(1.0, shared[FOUR << bits :].sum())
+    everything = max(1.0, everything)
     prob: dict[str, list[dict[str, float]]] = {c: [{}, {}, {}] for c in ("ordinary", "toxic")}
     lam = {}
     for level in (WORD, SIX, FOUR):
@@ -174,7 +185,7 @@ def chained(kept: pd.DataFrame, totals: pd.DataFrame, shared: np.ndarray, bits:
         lam[level] = min(1.0, max(a, 1e-6))
 
     def parent(c: str, level: int, form: str) -> float:
-        s = lambda k, f: max(0.5, shared[bucket(k, f, bits)])
+        s = lambda k, f: max(0.5, shared[k].get(f, 0))
         if level == FOUR:
             return s(FOUR, form) / everything
         up = form[:4] if level == SIX else form[:6]
@@ -226,7 +237,6 @@ def fit(
     labels: DataFrame,
     toxic_docs: int = 4000,
     ordinary_docs: int = 8000,
-    bits: int = 18,
     discounts: tuple[float, ...] = (0.0, 0.75, 1.2, 1.5),
     doc_id: str = "doc_id",
     text: str = "text",
@@ -244,7 +254,6 @@ def fit(
     ids = docs.sparkSession.createDataFrame(ids.astype({"doc": "int64", "toxic": "int32"}))
     sample = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(F.broadcast(ids), "doc")
     part = F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc")), F.lit(4))
-    shared = shared_counts(docs, text, bits)
     counts = class_counts(sample.where(part != 0)).persist()
     try:
         kinds = [F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds") for c in ("ordinary", "toxic")]
@@ -252,7 +261,7 @@ def fit(
         kept = counts.where("ordinary + toxic >= 2").toPandas().sort_values(["level", "form"])
     finally:
         counts.unpersist()
-    model = Model(*chained(kept, totals, shared, bits, discounts))
+    model = Model(*chained(kept, totals, *shared_counts(docs, text, asked(kept)), discounts))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

@@ -86,3 +86,17 @@ def test_every_pair_that_occurs_twice_is_kept(spark):
     docs = spark.createDataFrame([(i, " ".join(words) if i < 12 else "something short") for i in range(24)], "doc_id long, text string")
     model = T.fit(docs, docs.select("doc_id", (F.col("doc_id") >= 12).cast("int").alias("toxic")))
     assert {(v, w) for v, after in model.pairs.items() for w in after} >= held
+
+
+def test_shared_counts_are_exact(spark):
+    """For two words with the same crc32 in 18 bits, too."""
+    rng, seen = random.Random(2), {}
+    for _ in range(10_000):
+        w = "".join(rng.choices("klmnopqrst", k=7))
+        if (other := seen.setdefault(zlib.crc32(w.encode()) & (1 << 18) - 1, w)) != w:
+            break
+    assert other != w
+    docs = spark.createDataFrame([(f"{other} {other} abcdefgh x{i}",) for i in range(7)] + [(f"{w} abcdef",), (None,)], "text string").repartition(3)
+    counts, total = T.shared_counts(docs, "text", [{other, w, "unseen"}, {"abcdef"}, {"abcd"}])
+    six, four = (sum(x[:k] == "abcdef"[:k] for x in (other,)) * 7 + (w[:k] == "abcdef"[:k]) + 8 for k in (6, 4))
+    assert counts == [{other: 7, w: 1}, {"abcdef": six}, {"abcd": four}] and total == 7 * 3 + 2
