@@ -15,8 +15,6 @@ KEYWORDS = (
     "if else for while do switch case break continue return try catch finally throw fn function class struct enum impl trait "
     "const let var static public private protected async await"
 ).split()
-_KEYWORD = {w.encode(): KEYWORD + i for i, w in enumerate(KEYWORDS)}
-_TOKEN = re.compile(rb"(?P<nl>\n)|(?P<ws>[ \t\r\f]+)|(?P<lc>//[^\n]*)|(?P<bc>/\*)|(?P<hash>#)|(?P<q>[\"'])|(?P<word>[A-Za-z_][A-Za-z0-9_]*)|(?P<num>[0-9][0-9.]*)|(?P<other>.)", re.S)
 
 
 def fnv_many(rows: list[np.ndarray], width: int) -> np.ndarray:
@@ -59,16 +57,48 @@ def seeds(n: int) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.array([1] + [base] * n, dtype=np.uint64))
+
+
+SLAB = 1 << 15  # k-grams and windows worked on together: their arrays stay in cache
+_UP, _DOWN = _powers(int(POLY), SLAB + 256), _powers(pow(int(POLY), -1, 1 << 64), SLAB + 256)
+
+
 def poly_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
-    """Polynomial hash of every k-gram."""
+    """Polynomial hash of every k-gram: differences of running sums in which a symbol
+    is divided by the power of its place, times that power again."""
     n = len(symbols) - k + 1
-    h = np.zeros(max(0, n), dtype=np.uint64)
-    if n > 0:
-        s = symbols.astype(np.uint64) + np.uint64(1)
-        with np.errstate(over="ignore"):
+    out = np.zeros(max(0, n), dtype=np.uint64)
+    if n <= 0:
+        return out
+    with np.errstate(over="ignore"):
+        if k <= 4 or k > 256:
+            s = symbols.astype(np.uint64) + np.uint64(1)
             for j in range(k):
-                h = h * POLY + s[j : j + n]
-    return h
+                out = out * POLY + s[j : j + n]
+            return out
+        for a in range(0, n, SLAB):
+            m = min(SLAB, n - a)
+            s = symbols[a : a + m + k - 1].astype(np.uint64) + np.uint64(1)
+            total = np.zeros(len(s) + 1, dtype=np.uint64)
+            np.cumsum(s * _DOWN[: len(s)], out=total[1:])
+            out[a : a + m] = (total[k:] - total[:-k]) * _UP[k - 1 : k - 1 + m]
+    return out
+
+
+def least_right(h: np.ndarray, w: int) -> np.ndarray:
+    """For each full window of w values the place of its least one, the right-most of
+    equals; places of windows twice as long come from those of two halves."""
+    at, size = np.arange(len(h)), 1
+    n = len(h) - w + 1
+    while size < w:
+        step = min(size, w - size)
+        left, right = at[:-step], at[step:]
+        at = np.where(h[left] < h[right], left, right)
+        size += step
+    return at[:n]
 
 
 def winnowed(symbols: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,59 +107,139 @@ def winnowed(symbols: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarra
     h = poly_hashes(symbols, k)
     if len(h) < w:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    back = np.lib.stride_tricks.sliding_window_view(h[::-1], w)
-    picked = []
-    for a in range(0, len(back), 65_536):
-        picked.append(np.arange(a, min(a + 65_536, len(back))) + back[a : a + 65_536].argmin(axis=1))
-    at = np.unique(len(h) - 1 - np.concatenate(picked))
+    n = len(h) - w + 1
+    places = np.concatenate([a + least_right(h[a : a + SLAB + w - 1], w) for a in range(0, n, SLAB)])
+    at = places[np.concatenate([[True], places[1:] != places[:-1]])]
     return at, h[at]
 
 
+# Classes of bytes: 0 none, 1 a letter or _, 2 a digit, 3 a full stop, 4 others.
+_CLASS = np.full(256, 4, dtype=np.uint8)
+_CLASS[list(b" \t\r\f\n")] = 0
+_CLASS[list(b"_ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = 1
+_CLASS[list(b"0123456789")] = 2
+_CLASS[ord(".")] = 3
+_QUOTED = 5
+_OPENING = re.compile(rb"[\"'#]|/[/*]")
+_WIDE = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def _first_eight(word: bytes) -> int:
+    return int.from_bytes(word[:8].ljust(8, b"\0"), "little")
+
+
+_WORDS = np.array(sorted(_first_eight(w.encode()) for w in KEYWORDS), dtype=np.uint64)
+_WORD_OF = {_first_eight(w.encode()): w for w in KEYWORDS}
+_WORD_TOKEN = np.array([KEYWORD + KEYWORDS.index(_WORD_OF[int(x)]) for x in _WORDS])
+_WORD_LEN = np.array([len(_WORD_OF[int(x)]) for x in _WORDS])
+
+
+def _without_quotes(data: bytes, kinds: np.ndarray) -> list[int]:
+    """Takes comments and strings of `data` out of its classes, in place; a string
+    leaves one mark where it begins.  Returns the places of line ends that don't
+    count, since a backslash stands before them in a string."""
+    silent: list[int] = []
+    n, at, fresh = len(data), 0, True  # fresh: only blanks since the line or a comment of lines began
+    while m := _OPENING.search(data, at):
+        p, end = m.start(), m.end()
+        before = data[at:p]
+        cut = before.rfind(b"\n")
+        began = not before[cut + 1 :].strip(b" \t\r\f") and (fresh or cut >= 0)
+        what = m.group()
+        if what == b"//" or (what == b"#" and began):
+            end = data.find(b"\n", end)
+            end, fresh = (n if end < 0 else end), False
+            kinds[p:end] = 0
+        elif what == b"#":
+            fresh = False
+        elif what == b"/*":
+            close = data.find(b"*/", end)
+            stop = close if close >= 0 else max(end, n - 1)  # an open comment leaves the last byte
+            fresh = data.find(b"\n", end, stop) >= 0
+            end = close + 2 if close >= 0 else stop
+            kinds[p:end] = 0
+        else:
+            quote, i = what[0], end
+            while i < n and data[i] != quote:
+                if data[i] == 0x5C:
+                    if i + 1 < n and data[i + 1] == 0x0A:
+                        silent.append(i + 1)
+                    i += 2  # whatever it is, a line end included, isn't looked at
+                else:
+                    i += 1
+            end, fresh = min(i + 1, n), False
+            kinds[p:end] = 0
+            kinds[p] = _QUOTED
+        at = end
+    return silent
+
+
+def tokens_many(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(token, line) arrays of each text's bytes.  Texts are read as one, with line
+    ends between them; only comments and strings are looked for one by one."""
+    if not texts:
+        return []
+    data = b"\n".join(texts) + b"\n" + bytes(9)
+    size = np.array([len(t) + 1 for t in texts])
+    ends = np.cumsum(size)
+    heads = ends - size
+    raw = np.frombuffer(data, np.uint8)[: int(ends[-1])]
+    kinds = _CLASS[raw]
+    silent: list[int] = []
+    for text, head in zip(texts, heads.tolist(), strict=True):
+        if _OPENING.search(text):
+            silent += [head + i for i in _without_quotes(text, kinds[head : head + len(text)])]
+    letter, digit = kinds == 1, kinds == 2
+    word, number = letter, digit
+    if digit.any():
+        # digits and full stops in a row: digits behind a letter are the word's up to
+        # the first full stop; from the first other digit on all are a number
+        row = digit | (kinds == 3)
+        first = row.copy()
+        first[1:] &= ~row[:-1]
+        start = np.maximum.accumulate(np.where(first, np.arange(len(raw)), 0))
+        stops = np.cumsum(kinds == 3)
+        behind = letter[np.maximum(start - 1, 0)] & (start > 0)
+        here = stops - stops[start] + (kinds[start] == 3)
+        own = digit & behind & (here == 0)
+        digit = digit & ~own
+        seen = np.cumsum(digit)
+        number = row & (digit | ((kinds == 3) & (seen - seen[start] + digit[start] > 0)))
+        word = letter | own
+    begins = np.zeros(len(raw), dtype=np.uint8)
+    edge = lambda x: np.concatenate([x[:1], x[1:] & ~x[:-1]])
+    begins[edge(word)] = IDENT
+    begins[edge(number)] = NUMBER
+    begins[kinds == _QUOTED] = STRING
+    begins[(kinds == 4) | ((kinds == 3) & ~number)] = 4
+    at = np.flatnonzero(begins)
+    kind = begins[at]
+    token = kind.astype(np.uint32)
+    other = kind == 4
+    token[other] = raw[at[other]].astype(np.uint32) + np.uint32(PUNCT)
+    names = np.flatnonzero(kind == IDENT)
+    if len(names):
+        heads_ = at[names]
+        over = np.concatenate([np.flatnonzero(~word), [len(raw)]])
+        length = over[np.searchsorted(over, heads_)] - heads_
+        eight = np.ndarray((len(data) - 8,), dtype="<u8", buffer=data, strides=(1,))[heads_] & _WIDE[np.minimum(length, 8)]
+        i = np.minimum(np.searchsorted(_WORDS, eight), len(_WORDS) - 1)
+        same = (_WORDS[i] == eight) & (_WORD_LEN[i] == length)
+        for j in np.flatnonzero(same & (length > 8)).tolist():
+            same[j] = data[heads_[j] : heads_[j] + length[j]].decode("latin-1") in KEYWORDS
+        token[names[same]] = _WORD_TOKEN[i[same]]
+    counted = raw == 0x0A
+    counted[silent] = False
+    newlines = np.flatnonzero(counted)
+    line = np.searchsorted(newlines, at) + 1
+    cuts = np.searchsorted(at, ends[:-1])
+    base = np.repeat(np.searchsorted(newlines, heads), np.diff(np.concatenate([[0], cuts, [len(at)]])))
+    return list(zip(np.split(token, cuts), np.split((line - base).astype(np.int32), cuts), strict=True))
+
+
 def tokens_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(token, line) arrays of a text's bytes."""
-    out, lines = [], []
-    i, n, line, fresh = 0, len(data), 1, True
-    match = _TOKEN.match
-    while i < n:
-        m = match(data, i)
-        kind, end = m.lastgroup, m.end()
-        if kind == "nl":
-            line, fresh = line + 1, True
-        elif kind == "ws":
-            pass
-        else:
-            began, fresh = fresh, False
-            if kind == "word":
-                out.append(_KEYWORD.get(m.group(), IDENT))
-                lines.append(line)
-            elif kind == "num":
-                out.append(NUMBER)
-                lines.append(line)
-            elif kind == "bc":
-                close = data.find(b"*/", end)
-                stop = close if close >= 0 else max(end, n - 1)  # an open comment leaves the last byte
-                within = data.count(b"\n", end, stop)
-                line, fresh = line + within, within > 0
-                end = close + 2 if close >= 0 else stop
-            elif kind == "hash" and began:
-                end = data.find(b"\n", i)
-                end = n if end < 0 else end
-            elif kind == "q":
-                out.append(STRING)
-                lines.append(line)
-                quote = m.group()[0]
-                while end < n and data[end] != quote:
-                    if data[end] == 0x5C:
-                        end += 2  # whatever it is, a line end included, isn't looked at
-                    else:
-                        line += data[end] == 0x0A
-                        end += 1
-                end = min(end + 1, n)
-            elif kind != "lc":
-                out.append(PUNCT + data[i])
-                lines.append(line)
-        i = end
-    return np.array(out, dtype=np.uint32), np.array(lines, dtype=np.int32)
+    return tokens_many([data])[0]
 
 
 def blocks_of(tokens: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -213,31 +323,47 @@ def shingle_bases(tokens: np.ndarray, size: int = 5) -> np.ndarray:
     return h
 
 
-def minhash_many(rows: list[np.ndarray], numbers: np.ndarray) -> np.ndarray:
-    """[row, number]: MinHash slots of token rows of at least five tokens each."""
-    bases = [shingle_bases(r) for r in rows]
-    flat = np.concatenate(bases)
-    heads = np.cumsum([0, *[len(b) for b in bases[:-1]]])
-    low = np.uint64(0xFFFFFFFF)
-    return np.stack([np.minimum.reduceat(splitmix(flat ^ s) & low, heads) for s in numbers], axis=1)
+def _range_sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Sums of values[first:last] of each range, wrapping."""
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values, out=total[1:])
+    return total[last] - total[first]
 
 
-def simhash_many(rows: list[np.ndarray]) -> list[int]:
-    """SimHash of each token row; a bit is set if more than half of the shingles have it."""
-    bases = [shingle_bases(r) for r in rows]
-    h = splitmix(np.concatenate(bases))
-    size = np.array([len(b) for b in bases])
-    heads = np.cumsum(size) - size
-    out = np.zeros(len(rows), dtype=np.uint64)
-    for b in range(64):
-        ones = np.add.reduceat((h >> np.uint64(b) & np.uint64(1)).astype(np.int64), heads)
-        out |= (2 * ones > size).astype(np.uint64) << np.uint64(b)
-    return [int(x) for x in out]
+def minhash_ranges(bases: np.ndarray, first: np.ndarray, last: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """[range, number]: MinHash slots of the shingles bases[first:last]; ranges may
+    lie within each other, so a shingle is hashed once however many blocks hold it."""
+    ends = np.stack([first, last], axis=1).ravel()
+    low, bases = np.uint64(0xFFFFFFFF), np.append(bases, np.uint64(0))
+    return np.stack([np.minimum.reduceat(splitmix(bases ^ s) & low, ends)[::2] for s in numbers], axis=1)
+
+
+_LANES = np.array([sum((x >> b & 1) << 16 * b for b in range(4)) for x in range(16)], dtype=np.uint64)
+
+
+def simhash_ranges(bases: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """SimHash of the shingles bases[first:last] of each range; a bit is set if more
+    than half of them have it.  Four bits are counted in one word of 16-bit lanes, in
+    pieces that can't overflow a lane."""
+    h = splitmix(bases)
+    size = last - first
+    pieces = [(i, a, min(a + 65_535, e)) for i, (s, e) in enumerate(zip(first.tolist(), last.tolist(), strict=True)) for a in range(s, e, 65_535)]
+    owner, begin, end = (np.array(x, dtype=np.int64) for x in zip(*pieces, strict=True)) if pieces else (np.zeros(0, np.int64),) * 3
+    out = np.zeros(len(first), dtype=np.uint64)
+    for j in range(16):
+        summed = _range_sums(_LANES[(h >> np.uint64(4 * j) & np.uint64(15)).astype(np.intp)], begin, end)
+        for b in range(4):
+            ones = np.zeros(len(first), dtype=np.int64)
+            np.add.at(ones, owner, (summed >> np.uint64(16 * b) & np.uint64(0xFFFF)).astype(np.int64))
+            out |= (2 * ones > size).astype(np.uint64) << np.uint64(4 * j + b)
+    return out
 
 
 def minhash(tokens: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    return minhash_many([tokens], numbers)[0]
+    bases = shingle_bases(tokens)
+    return minhash_ranges(bases, np.array([0]), np.array([len(bases)]), numbers)[0]
 
 
 def simhash(tokens: np.ndarray) -> int:
-    return simhash_many([tokens])[0]
+    bases = shingle_bases(tokens)
+    return int(simhash_ranges(bases, np.array([0]), np.array([len(bases)]))[0])

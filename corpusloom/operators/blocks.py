@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels, text
+from . import prepare
 
 BLOCK = (
     "file_id long, repo_id int, block int, parent int, depth int, start_tok int, end_tok int, start_line int, end_line int, "
@@ -67,27 +68,55 @@ def duplicate_subtrees(tokens: DataFrame, files: DataFrame, min_token_len: int =
     return _grouped(rows, files, ["tree", "tree_len", "tree2"], "tree", "tree_len", cross_repo_only)
 
 
-def signed_blocks(tokens: DataFrame, min_token_len: int = 50, max_depth: int = 2, size: int = 32) -> DataFrame:
-    """(file_id, repo_id, block, start_line, end_line, minhash, simhash) of the outer
-    blocks that are long enough for a shingle of five tokens."""
-    schema = "file_id long, repo_id int, block int, start_line int, end_line int, minhash array<long>, simhash long"
+def shapes(files: DataFrame) -> DataFrame:
+    """(repo_id, path, n_blocks, max_depth) of files that have brace blocks: all of
+    them, open and empty ones too; the outermost has depth 0.  No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in prepare.slabs(whole, "body"):
+                found = [kernels.blocks_of(t) for t, _ in kernels.tokens_many(prepare.bytes_of(batch.column("body")))]
+                counts = [pa.array([len(own) for own in found], pa.int64()), pa.array([max((d for _, _, d, _ in own), default=0) for own in found], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column("repo_id"), batch.column("path"), *counts], ["repo_id", "path", "n_blocks", "max_depth"])
+
+    rows = files.select("repo_id", "path", prepare.lossy(F.col("content")).alias("body"))
+    return rows.mapInArrow(run, "repo_id int, path string, n_blocks long, max_depth long").where("n_blocks > 0")
+
+
+SIGNED = "file_id long, repo_id int, block int, start_line int, end_line int"
+
+
+def signed_blocks(tokens: DataFrame, min_token_len: int = 50, max_depth: int = 2, size: int = 32, kinds: tuple[str, ...] = ("minhash", "simhash")) -> DataFrame:
+    """SIGNED's columns and those of `kinds` (minhash array<long>, simhash long) of
+    the outer blocks that are long enough for a shingle of five tokens."""
+    types = {"minhash": "array<long>", "simhash": "long"}
+    schema = ", ".join([SIGNED, *[f"{k} {types[k]}" for k in kinds]])
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = kernels.seeds(size)
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64()]
         for whole in batches:
-            for a in range(0, whole.num_rows, 100):
-                batch, rows, inner = whole.slice(a, 100), [], []
-                for file, repo, data, lines in zip(*(batch.column(n).to_pylist() for n in ("file_id", "repo_id", "symbols", "lines")), strict=True):
-                    t = np.frombuffer(data, "<u4")
+            for batch in prepare.slabs(whole, "symbols", 1 << 20):
+                rows, first, last, parts, at = [], [], [], [], 0
+                for file, repo, data, lines in zip(*(batch.column(n) for n in ("file_id", "repo_id", "symbols", "lines")), strict=True):
+                    t, line = np.frombuffer(data.as_py(), "<u4"), lines.values.to_numpy()
                     for i, (s, e, depth, _) in enumerate(kernels.blocks_of(t)):
                         if depth <= max_depth and e - s - 1 >= max(5, min_token_len):
-                            rows.append((file, repo, i, lines[s], lines[e]))
-                            inner.append(t[s + 1 : e])
+                            rows.append((file.as_py(), repo.as_py(), i, line[s], line[e]))
+                            first.append(at + s + 1)
+                            last.append(at + e - 4)
+                    parts.append(t)
+                    at += len(t)
                 if rows:
-                    sims = [x - (1 << 64) if x >> 63 else x for x in kernels.simhash_many(inner)]
-                    columns = [*zip(*rows, strict=True), kernels.minhash_many(inner, numbers).astype(np.int64).tolist(), sims]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
+                    bases = kernels.shingle_bases(np.concatenate(parts))
+                    a, b = np.array(first), np.array(last)
+                    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+                    if "minhash" in kinds:
+                        slots = kernels.minhash_ranges(bases, a, b, numbers).astype(np.int64)
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * size, pa.int32()), pa.array(slots.ravel())))
+                    if "simhash" in kinds:
+                        columns.append(pa.array(kernels.simhash_ranges(bases, a, b).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     return tokens.select("file_id", "repo_id", "symbols", "lines").mapInArrow(run, schema)
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,14 +64,30 @@ def line_symbols(files: DataFrame) -> DataFrame:
     return files.select("file_id", "repo_id", each.alias("lines")).mapInArrow(run, SYMBOLS)
 
 
+def slabs(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Slices of `batch` of about `most` bytes of a binary or text column, a row at
+    least: kernels work on a slice at once."""
+    size = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    slab = np.concatenate([[0], np.cumsum(size)[:-1]]) // most if len(size) else size
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(slab)) + 1, [len(size)]]).astype(int)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def bytes_of(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.binary()).to_pylist()
+
+
 def token_symbols(files: DataFrame) -> DataFrame:
     """Tokens of each file, with their lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [kernels.tokens_of(x.encode("utf-8", "surrogatepass")) for x in batch.column("body").to_pylist()]
-            arrays = [pa.array([t.astype("<u4").tobytes() for t, _ in found], pa.binary()), pa.array([n for _, n in found], pa.list_(pa.int32())), pa.array([None] * len(found), pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("repo_id"), *arrays], ["file_id", "repo_id", "symbols", "lines", "sizes"])
+        for whole in batches:
+            for batch in slabs(whole, "body"):
+                found = kernels.tokens_many(bytes_of(batch.column("body")))
+                arrays = [pa.array([t.astype("<u4").tobytes() for t, _ in found], pa.binary()), pa.array([n for _, n in found], pa.list_(pa.int32())), pa.array([None] * len(found), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("repo_id"), *arrays], ["file_id", "repo_id", "symbols", "lines", "sizes"])
 
     return files.select("file_id", "repo_id", lossy(F.col("content")).alias("body")).mapInArrow(run, SYMBOLS)
 

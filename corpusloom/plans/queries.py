@@ -181,7 +181,7 @@ def token_span_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _code(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = prepare.numbered(tables.as_code(tables.documents(spark, sf_dir)))
+    docs = tables.as_code(prepare.numbered(tables.documents(spark, sf_dir)))  # the shuffle carries the shorter text
     return docs, prepare.token_symbols(docs)
 
 
@@ -212,12 +212,7 @@ def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT repo_id, path, CAST(1 + n - 1 AS BIGINT) AS n_blocks, 1::BIGINT AS max_depth FROM l""",
 )
 def brace_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, tokens = _code(spark, sf_dir)
-    names = docs.select("file_id", "path")
-    # open and empty blocks have no row; a document's empty lines make `if (x) {}`
-    found = blocks.blocks(tokens).groupBy("file_id", "repo_id").agg(F.count(F.lit(1)).alias("filled"), F.max("depth").cast("long").alias("max_depth"))
-    opened = docs.select("file_id", (F.size(F.split(F.decode("content", "utf-8"), r"\{")) - 1).cast("long").alias("n_blocks"))
-    return found.join(opened, "file_id").join(names, "file_id").select("repo_id", "path", "n_blocks", "max_depth")
+    return blocks.shapes(tables.as_code(tables.documents(spark, sf_dir)))
 
 
 # Tokens of each inner block (a line) and of each function, as lists of numbers.
