@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -121,20 +122,130 @@ def signed_blocks(tokens: DataFrame, min_token_len: int = 50, max_depth: int = 2
     return tokens.select("file_id", "repo_id", "symbols", "lines").mapInArrow(run, schema)
 
 
-def _pairs(signed: DataFrame, bands, value: str, keep, cross_repo_only: bool) -> DataFrame:
-    """Pairs of blocks that share a band and pass `keep`.  Equal signatures are one
-    node until they are verified: bands are joined between distinct signatures, so a
-    crowd of copies is expanded once, not once for each band."""
-    distinct = signed.select(value).distinct().withColumn("sig", F.xxhash64(value))
-    marked = distinct.select("sig", F.col(value).alias("v"), F.posexplode(bands(F.col(value))).alias("band", "bits"))
-    a, b = marked.select(F.col("sig").alias("sa"), F.col("v").alias("va"), "band", "bits"), marked.select(F.col("sig").alias("sb"), F.col("v").alias("vb"), "band", "bits")
-    near = a.join(b, ["band", "bits"]).where("sa <= sb").select("sa", "sb", "va", "vb").dropDuplicates(["sa", "sb"])
-    near = keep(near)
-    own = signed.withColumn("sig", F.xxhash64(value)).drop("minhash", "simhash")
+@dataclass(frozen=True)
+class Likeness:
+    """How signatures are compared: candidates share one of several keys, and a pair
+    counts at the first key that it shares, so nothing has to be made distinct.
+    `least` is the share of equal slots, or the most bits that differ."""
+
+    value: str
+    least: float
+    masks: tuple[int, ...] = ()
+
+    @classmethod
+    def minhash(cls, threshold: float) -> Likeness:
+        """Keys are 8 bands of 4 slots."""
+        return cls("minhash", threshold)
+
+    @classmethod
+    def simhash(cls, most: int) -> Likeness:
+        """Up to three differing bits leave two of five runs of 13 bits (the last has
+        12) untouched: ten keys of 25 or 26 bits find the same pairs as four of 16,
+        of which one must be untouched then.  Beyond three bits it's those four."""
+        if most <= 3:
+            runs = [((1 << 13) - 1) << 13 * i & (1 << 64) - 1 for i in range(5)]
+            return cls("simhash", most, tuple(a | b for i, a in enumerate(runs) for b in runs[:i]))
+        return cls("simhash", most, tuple(0xFFFF << 16 * i for i in range(4)))
+
+    def keys(self) -> F.Column:
+        if self.value == "minhash":
+            return F.array(*[F.xxhash64(F.slice("v", 4 * i + 1, F.lit(4))) for i in range(8)])
+        return F.array(*[F.col("v").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in self.masks])
+
+    def judge(self, a: np.ndarray, b: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(what counts, similarity or distance) of pairs that share `key`."""
+        if self.value == "minhash":
+            same = a == b
+            share = same.mean(axis=1)
+            first = same.reshape(len(a), 8, 4).all(axis=2).argmax(axis=1)
+            return (share >= self.least) & (first == key), share
+        differs = a ^ b
+        first = np.stack([differs & np.uint64(m) == 0 for m in self.masks], axis=1).argmax(axis=1)
+        distance = np.bitwise_count(differs)
+        return (distance <= self.least) & (first == key), distance.astype(np.float64)
+
+
+TILE = 2048  # signatures of one key on each side of a comparison
+
+
+def _classes(signed: DataFrame, by: Likeness) -> DataFrame:
+    """(sig, v, n): blocks of equal signatures are one class until they are counted."""
+    return signed.groupBy(F.col(by.value).alias("v")).agg(F.count(F.lit(1)).alias("n")).select(F.xxhash64("v").alias("sig"), "v", "n")
+
+
+def _compared(classes: DataFrame, by: Likeness, links: bool) -> DataFrame:
+    """Pairs of different classes that `by` counts, each once: (sa, sb, value); or
+    with `links` (sig, links), the blocks that a class is linked to in part, and no
+    pair leaves the kernel.  The signatures of a key are compared in tiles, however
+    many they are: a row goes to the tiles of its part, a task gets two parts."""
+    marked = classes.select("sig", "v", "n", F.posexplode(by.keys()).alias("key", "bits"))
+    sizes = marked.groupBy("key", "bits").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    parts = F.ceil(F.col("m") / TILE).cast("int")
+    rows = marked.join(sizes, ["key", "bits"]).withColumn("part", F.pmod(F.xxhash64("sig", F.lit(1)), parts).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).drop("m")
+    rows = rows.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("other")
+    group = ["key", "bits", "lo", "hi"]
+    schema = "sig long, links long" if links else "sa long, sb long, value double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in prepare.whole_groups(batches, group):
+            sig, n, part, key = (table.column(c).to_numpy() for c in ("sig", "n", "part", "key"))
+            v = table.column("v").combine_chunks()
+            values = v.to_numpy().view(np.uint64) if by.masks else v.flatten().to_numpy().astype(np.uint32).reshape(len(sig), -1)
+            crossing = table.column("lo").to_numpy() != table.column("hi").to_numpy()
+            group_of = prepare.group_numbers(table, group)
+            left = np.arange(len(sig))
+            found = []
+            for d in range(1, len(sig)):
+                left = left[left + d < len(sig)]
+                left = left[group_of[left] == group_of[left + d]]
+                if not len(left):
+                    break
+                here = left[~crossing[left] | (part[left] != part[left + d])]
+                for a in range(0, len(here), 1 << 15):
+                    i = here[a : a + (1 << 15)]
+                    good, value = by.judge(values[i], values[i + d], key[i])
+                    found.append((i[good], i[good] + d, value[good]))
+            if not found:
+                continue
+            i, j, value = (np.concatenate(x) for x in zip(*found, strict=True))
+            if links:
+                of, place = np.unique(np.concatenate([sig[i], sig[j]]), return_inverse=True)
+                total = np.zeros(len(of), dtype=np.int64)
+                np.add.at(total, place, np.concatenate([n[j], n[i]]))
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(total)], ["sig", "links"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[i], sig[j])), pa.array(np.maximum(sig[i], sig[j])), pa.array(value)], ["sa", "sb", "value"])
+
+    columns = [*group, "sig", "v", "n", "part"]
+    return prepare.dealt(rows.select(*columns), group).mapInArrow(run, schema)
+
+
+def links(signed: DataFrame, by: Likeness) -> DataFrame:
+    """Each block with its class_id, equal for blocks of equal signatures, and
+    n_links, the number of other blocks that are similar to it, its copies included.
+    Links are counted, not written as pairs: a crowd of copies is one class."""
+    classes = _classes(signed, by)
+    found = _compared(classes, by, links=True).groupBy("sig").agg(F.sum("links").alias("links"))
+    counted = classes.join(found, "sig", "left").select(F.col("v").alias(by.value), F.col("sig").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return signed.join(counted, by.value).select(*[x.split()[0] for x in SIGNED.split(", ")], "class_id", "n_links")
+
+
+def _pairs(signed: DataFrame, by: Likeness, cross_repo_only: bool) -> DataFrame:
+    """All pairs of similar blocks.  It has a row for each, also between copies; for
+    sections of a report, which end after a few.  `links` is the form for a corpus."""
+    classes = _classes(signed, by)
+    equal = classes.where("n > 1").select(F.col("sig").alias("sa"), F.col("sig").alias("sb"), F.lit(0.0 if by.masks else 1.0).alias("value"))
+    near = _compared(classes, by, links=False)
+    turned = near.select(F.col("sb").alias("sa"), F.col("sa").alias("sb"), "value")
+    near = near.unionByName(turned).unionByName(equal)
+    if by.masks:
+        near = near.select("sa", "sb", (1 - F.col("value") / 64.0).alias("score"), F.col("value").cast("int").alias("distance"))
+    else:
+        near = near.select("sa", "sb", F.col("value").alias("score"), F.lit(None).cast("int").alias("distance"))
+    own = signed.withColumn("sig", F.xxhash64(by.value)).drop("minhash", "simhash")
     side = lambda s: own.select(*[F.col(c).alias(f"{c}_{s}") for c in own.columns])
-    first = near.select("sa", "sb", "score", "distance")
-    turned = first.where("sa <> sb").select(F.col("sb").alias("sa"), F.col("sa").alias("sb"), "score", "distance")
-    rows = first.unionByName(turned).join(side("a"), F.col("sa") == F.col("sig_a")).join(side("b"), F.col("sb") == F.col("sig_b"))
+    rows = near.join(side("a"), F.col("sa") == F.col("sig_a")).join(side("b"), F.col("sb") == F.col("sig_b"))
     rows = rows.where("file_id_a < file_id_b OR (file_id_a = file_id_b AND block_a < block_b)")
     rows = rows.where("repo_id_a <> repo_id_b") if cross_repo_only else rows
     return rows.drop("sa", "sb", "sig_a", "sig_b")
@@ -142,22 +253,9 @@ def _pairs(signed: DataFrame, bands, value: str, keep, cross_repo_only: bool) ->
 
 def minhash_pairs(signed: DataFrame, threshold: float = 0.85, cross_repo_only: bool = False) -> DataFrame:
     """Pairs whose share of equal slots reaches the threshold, from 8 bands of 4."""
-
-    def keep(near: DataFrame) -> DataFrame:
-        size = F.size("va").cast("double")
-        score = F.size(F.filter(F.zip_with("va", "vb", lambda x, y: x == y), lambda e: e)) / size
-        return near.withColumns({"score": score, "distance": F.lit(None).cast("int")}).where(F.col("score") >= threshold)
-
-    bands = lambda v: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.xxhash64(F.slice(v, i * 4 + 1, F.lit(4))))
-    return _pairs(signed, bands, "minhash", keep, cross_repo_only)
+    return _pairs(signed, Likeness.minhash(threshold), cross_repo_only)
 
 
 def simhash_pairs(signed: DataFrame, max_distance: int = 3, cross_repo_only: bool = False) -> DataFrame:
-    """Pairs within a Hamming distance, from 4 bands of 16 bits."""
-
-    def keep(near: DataFrame) -> DataFrame:
-        near = near.withColumn("distance", F.bit_count(F.col("va").bitwiseXOR(F.col("vb"))).cast("int"))
-        return near.where(F.col("distance") <= max_distance).withColumn("score", 1 - F.col("distance") / 64.0)
-
-    bands = lambda v: F.array(*[F.shiftrightunsigned(v, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)])
-    return _pairs(signed, bands, "simhash", keep, cross_repo_only)
+    """Pairs within a Hamming distance that agree in one of 4 bands of 16 bits."""
+    return _pairs(signed, Likeness.simhash(max_distance), cross_repo_only)

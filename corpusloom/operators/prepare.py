@@ -75,6 +75,44 @@ def slabs(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[p
             yield batch.slice(a, b - a)
 
 
+def dealt(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """`rows` shuffled by `keys` and sorted in each partition by them and `order`:
+    what `whole_groups` reads.  Partitions are as many as the session asks for; a
+    sort spills, so a partition needn't fit into memory."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
+
+
+def group_numbers(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """0, 1, .. for the groups of neighbouring rows that agree in `keys`."""
+    change = np.zeros(max(0, table.num_rows - 1), dtype=bool)
+    for k in keys:
+        v = table.column(k).to_numpy()
+        change |= v[1:] != v[:-1]
+    return np.concatenate([[0], np.cumsum(change)]) if table.num_rows else np.zeros(0, np.int64)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 50_000) -> Iterator[pa.Table]:
+    """Tables of whole groups, of at least so many rows but the last."""
+    held: list[pa.RecordBatch] = []
+    rows, goal = 0, least
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= goal:
+            table = pa.Table.from_batches(held).combine_chunks()
+            numbers = group_numbers(table, keys)
+            cut = int(np.searchsorted(numbers, numbers[-1]))
+            if cut:
+                yield table.slice(0, cut)
+            held, rows = table.slice(cut).combine_chunks().to_batches(), table.num_rows - cut
+            goal = max(least, 2 * rows)  # a large group is put together once for each doubling
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def bytes_of(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 

@@ -250,33 +250,34 @@ def subtree_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("minhash_signatures")
 def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tokens = _code(spark, sf_dir)
-    rows = blocks.signed_blocks(tokens).join(docs.select("file_id", "path"), "file_id")
+    rows = blocks.signed_blocks(tokens, kinds=("minhash",)).join(docs.select("file_id", "path"), "file_id")
     return rows.select("repo_id", "path", "block", F.array_join("minhash", ",").alias("minhash"))
 
 
 @register("simhash_values")
 def simhash_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tokens = _code(spark, sf_dir)
-    rows = blocks.signed_blocks(tokens).join(docs.select("file_id", "path"), "file_id")
+    rows = blocks.signed_blocks(tokens, kinds=("simhash",)).join(docs.select("file_id", "path"), "file_id")
     return rows.select("repo_id", "path", "block", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("simhash"))
 
 
-def _paths(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    for side in "ab":
-        pairs = pairs.join(docs.select(F.col("file_id").alias(f"file_id_{side}"), F.col("path").alias(f"path_{side}")), f"file_id_{side}")
-    return pairs.select("path_a", "start_line_a", "end_line_a", "path_b", "start_line_b", "end_line_b", "score", "distance")
+def _links(spark: SparkSession, sf_dir: str, by: blocks.Likeness) -> DataFrame:
+    docs, tokens = _code(spark, sf_dir)
+    found = blocks.links(blocks.signed_blocks(tokens, kinds=(by.value,)), by)
+    return found.join(docs.select("file_id", "path"), "file_id").select("repo_id", "path", "block", "start_line", "end_line", "class_id", "n_links")
 
 
 @register("minhash_pairs")
 def minhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, tokens = _code(spark, sf_dir)
-    return _paths(blocks.minhash_pairs(blocks.signed_blocks(tokens), OPTIONS.similarity_threshold), docs)
+    """A row for each block: its class of equal signatures, and how many others are
+    similar to it."""
+    return _links(spark, sf_dir, blocks.Likeness.minhash(OPTIONS.similarity_threshold))
 
 
 @register("simhash_pairs")
 def simhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, tokens = _code(spark, sf_dir)
-    return _paths(blocks.simhash_pairs(blocks.signed_blocks(tokens), OPTIONS.simhash_max_distance), docs)
+    """As minhash_pairs, by the distance of SimHash values."""
+    return _links(spark, sf_dir, blocks.Likeness.simhash(OPTIONS.simhash_max_distance))
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,20 +86,28 @@ def test_renamed_function_is_found_five_times(spark):
 
 
 def test_similar_blocks_against_all_pairs(spark, sf_dir):
-    from corpusloom.functions import kernels
     from corpusloom.plans import queries
 
     docs, tokens = queries._code(spark, sf_dir)
     signed = blocks.signed_blocks(tokens).cache()
     rows = signed.collect()
-    want_m = want_s = 0
-    for i, a in enumerate(rows):
-        for b in rows[:i]:
-            want_m += sum(x == y for x, y in zip(a.minhash, b.minhash, strict=True)) / 32 >= 0.85
-            want_s += bin((a.simhash ^ b.simhash) & (1 << 64) - 1).count("1") <= 3
-    assert blocks.minhash_pairs(signed).count() == want_m > 0
-    assert blocks.simhash_pairs(signed).count() == want_s > 0
-    assert kernels is not None
+    place = lambda r: (r.file_id, r.block)
+    m = lambda a, b: sum(x == y for x, y in zip(a.minhash, b.minhash, strict=True)) / 32 >= 0.85
+    s = lambda most: lambda a, b: bin((a.simhash ^ b.simhash) & (1 << 64) - 1).count("1") <= most
+    bands = lambda a, b: any((a.simhash ^ b.simhash) >> 16 * i & 0xFFFF == 0 for i in range(4))
+    wide = lambda a, b: s(7)(a, b) and bands(a, b)
+    for like, by in ((m, blocks.Likeness.minhash(0.85)), (s(3), blocks.Likeness.simhash(3)), (wide, blocks.Likeness.simhash(7))):
+        want = {place(a): sum(like(a, b) for b in rows if b is not a) for a in rows}
+        assert {place(r): r.n_links for r in blocks.links(signed, by).collect()} == want
+        assert blocks._pairs(signed, by, False).count() * 2 == sum(want.values()) > 0
+
+
+def test_crowded_keys_are_compared_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "TILE", 4)
+    rows = [(i, 0, 0, 1, 1, i % 40) for i in range(60)]  # 40 values of 6 bits: all share the upper keys
+    signed = spark.createDataFrame(rows, blocks.SIGNED + ", simhash long")
+    want = {r[0]: sum(bin(r[5] ^ q[5]).count("1") <= 3 for q in rows) - 1 for r in rows}
+    assert {r.file_id: r.n_links for r in blocks.links(signed, blocks.Likeness.simhash(3)).collect()} == want
 
 
 def test_budgets(spark):
