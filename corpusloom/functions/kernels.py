@@ -19,23 +19,38 @@ KEYWORDS = (
 
 def fnv_many(rows: list[np.ndarray], width: int) -> np.ndarray:
     """FNV-1a 64 of each row of values; each value is `width` little-endian bytes.
-    All rows advance together, the longest first."""
+    All rows advance together, the longest first; the last few go on one by one.
+    Zero bytes only multiply, so those above a value's last are one factor."""
     out = np.full(len(rows), BASIS, dtype=np.uint64)
-    if not rows:
+    size = np.array([len(r) for r in rows], dtype=np.int64)
+    if not size.sum():
         return out
-    size = np.array([len(r) for r in rows])
     order = np.argsort(-size, kind="stable")
-    flat = np.concatenate(rows).astype(np.uint64) if size.sum() else np.zeros(0, np.uint64)
-    at = (np.cumsum(size) - size)[order]
-    left, live, h = size[order], len(rows), np.full(len(rows), BASIS, dtype=np.uint64)
+    flat = np.concatenate(rows).astype(np.uint64)
+    used = min(width, max(1, (int(flat.max()).bit_length() + 7) // 8))
+    prime, mask = int(PRIME), (1 << 64) - 1
+    rest = pow(prime, width - used + 1, 1 << 64)
+    factors = [PRIME] * (used - 1) + [np.uint64(rest)]
+    at, left = (np.cumsum(size) - size)[order], size[order]
+    live, h, i = len(rows), np.full(len(rows), BASIS, dtype=np.uint64), 0
     with np.errstate(over="ignore"):
-        for i in range(int(left[0])):
+        while True:
             while live and left[live - 1] <= i:
                 live -= 1
+            if live < 48:
+                break
             v, now = flat[at[:live] + i], h[:live]
-            for b in range(width):
-                now = (now ^ (v >> np.uint64(8 * b) & np.uint64(255))) * PRIME
+            for b, factor in enumerate(factors):
+                now = (now ^ (v if used == 1 else v >> np.uint64(8 * b) & np.uint64(255))) * factor
             h[:live] = now
+            i += 1
+    for r in range(live):
+        x = int(h[r])
+        for v in flat[at[r] + i : at[r] + left[r]].tolist():
+            for b in range(used - 1):
+                x = (x ^ (v >> 8 * b & 255)) * prime & mask
+            x = (x ^ v >> 8 * (used - 1)) * rest & mask
+        h[r] = x
     out[order] = h
     return out
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels, text
+from ..sources.shared import Stage
 from . import prepare
 
 BLOCK = (
@@ -87,39 +88,39 @@ def shapes(files: DataFrame) -> DataFrame:
 SIGNED = "file_id long, repo_id int, block int, start_line int, end_line int"
 
 
-def signed_blocks(tokens: DataFrame, min_token_len: int = 50, max_depth: int = 2, size: int = 32, kinds: tuple[str, ...] = ("minhash", "simhash")) -> DataFrame:
-    """SIGNED's columns and those of `kinds` (minhash array<long>, simhash long) of
-    the outer blocks that are long enough for a shingle of five tokens."""
-    types = {"minhash": "array<long>", "simhash": "long"}
+def signed_blocks(files: DataFrame, min_token_len: int = 50, max_depth: int = 2, size: int = 32, kinds: tuple[str, ...] = ("minhash", "simhash")) -> DataFrame:
+    """SIGNED's columns and those of `kinds` (minhash array<int>, of unsigned slots;
+    simhash long) of the outer blocks that are long enough for a shingle of five
+    tokens.  Tokens never leave the kernel."""
+    types = {"minhash": "array<int>", "simhash": "long"}
     schema = ", ".join([SIGNED, *[f"{k} {types[k]}" for k in kinds]])
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = kernels.seeds(size)
         for whole in batches:
-            for batch in prepare.slabs(whole, "symbols", 1 << 20):
-                rows, first, last, parts, at = [], [], [], [], 0
-                for file, repo, data, lines in zip(*(batch.column(n) for n in ("file_id", "repo_id", "symbols", "lines")), strict=True):
-                    t, line = np.frombuffer(data.as_py(), "<u4"), lines.values.to_numpy()
+            for batch in prepare.slabs(whole, "body", 1 << 20):
+                found = kernels.tokens_many(prepare.bytes_of(batch.column("body")))
+                rows, first, last, at = [], [], [], 0
+                for file, repo, (t, line) in zip(batch.column("file_id").to_pylist(), batch.column("repo_id").to_pylist(), found, strict=True):
                     for i, (s, e, depth, _) in enumerate(kernels.blocks_of(t)):
                         if depth <= max_depth and e - s - 1 >= max(5, min_token_len):
-                            rows.append((file.as_py(), repo.as_py(), i, line[s], line[e]))
+                            rows.append((file, repo, i, line[s], line[e]))
                             first.append(at + s + 1)
                             last.append(at + e - 4)
-                    parts.append(t)
                     at += len(t)
                 if rows:
-                    bases = kernels.shingle_bases(np.concatenate(parts))
+                    bases = kernels.shingle_bases(np.concatenate([t for t, _ in found]))
                     a, b = np.array(first), np.array(last)
                     columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
                     if "minhash" in kinds:
-                        slots = kernels.minhash_ranges(bases, a, b, numbers).astype(np.int64)
+                        slots = kernels.minhash_ranges(bases, a, b, numbers).astype(np.uint32).view(np.int32)
                         columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * size, pa.int32()), pa.array(slots.ravel())))
                     if "simhash" in kinds:
                         columns.append(pa.array(kernels.simhash_ranges(bases, a, b).view(np.int64)))
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    return tokens.select("file_id", "repo_id", "symbols", "lines").mapInArrow(run, schema)
+    return files.select("file_id", "repo_id", prepare.lossy(F.col("content")).alias("body")).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -173,6 +174,12 @@ def _classes(signed: DataFrame, by: Likeness) -> DataFrame:
     return signed.groupBy(F.col(by.value).alias("v")).agg(F.count(F.lit(1)).alias("n")).select(F.xxhash64("v").alias("sig"), "v", "n")
 
 
+def staged(signed: DataFrame) -> DataFrame:
+    """`signed` written once to the shared folder: classes, keys and blocks read it,
+    and hashing costs more than reading."""
+    return Stage(signed.sparkSession, "signed").write(signed, "blocks")
+
+
 def _compared(classes: DataFrame, by: Likeness, links: bool) -> DataFrame:
     """Pairs of different classes that `by` counts, each once: (sa, sb, value); or
     with `links` (sig, links), the blocks that a class is linked to in part, and no
@@ -191,7 +198,7 @@ def _compared(classes: DataFrame, by: Likeness, links: bool) -> DataFrame:
         for table in prepare.whole_groups(batches, group):
             sig, n, part, key = (table.column(c).to_numpy() for c in ("sig", "n", "part", "key"))
             v = table.column("v").combine_chunks()
-            values = v.to_numpy().view(np.uint64) if by.masks else v.flatten().to_numpy().astype(np.uint32).reshape(len(sig), -1)
+            values = v.to_numpy().view(np.uint64) if by.masks else v.flatten().to_numpy().reshape(len(sig), -1)
             crossing = table.column("lo").to_numpy() != table.column("hi").to_numpy()
             group_of = prepare.group_numbers(table, group)
             left = np.arange(len(sig))
@@ -225,6 +232,7 @@ def links(signed: DataFrame, by: Likeness) -> DataFrame:
     """Each block with its class_id, equal for blocks of equal signatures, and
     n_links, the number of other blocks that are similar to it, its copies included.
     Links are counted, not written as pairs: a crowd of copies is one class."""
+    signed = staged(signed)
     classes = _classes(signed, by)
     found = _compared(classes, by, links=True).groupBy("sig").agg(F.sum("links").alias("links"))
     counted = classes.join(found, "sig", "left").select(F.col("v").alias(by.value), F.col("sig").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))

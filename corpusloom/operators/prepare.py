@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +12,17 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels, text
+from ..functions import kernels
 
 FILE = ["file_id", "repo_id", "repo_label", "path"]
 SYMBOLS = "file_id long, repo_id int, symbols binary, lines array<int>, sizes array<int>"
 
 
+def identified(corpus: DataFrame) -> DataFrame:
+    """`corpus` with file_id, where it lies."""
+    return corpus.withColumn("file_id", F.xxhash64("repo_id", "path"))
+
+
 def numbered(corpus: DataFrame) -> DataFrame:
     """`corpus` with file_id.  It is the hash of (repo_id, path): no global order is
     needed, and it is the same in every run.  Two files share an id only if they
@@ -23,7 +30,7 @@ def numbered(corpus: DataFrame) -> DataFrame:
     bound by CPU, and a table of a few large row groups would keep a few cores busy."""
     spark = corpus.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return corpus.withColumn("file_id", F.xxhash64("repo_id", "path")).repartition(parts, "file_id")
+    return identified(corpus).repartition(parts, "file_id")
 
 
 def lossy(content) -> F.Column:
@@ -31,37 +38,70 @@ def lossy(content) -> F.Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def char_symbols(files: DataFrame) -> DataFrame:
-    """Code characters of each file, with their lines."""
-    body = lossy(F.col("content"))
+class Symbols(NamedTuple):
+    """A file's symbols; `lines` their lines, `sizes` their characters if they differ."""
+
+    values: np.ndarray
+    lines: Callable[[np.ndarray], np.ndarray]
+    sizes: np.ndarray | None = None
+
+
+_CODE = np.zeros(256, dtype=bool)
+_CODE[list(b"_ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")] = True
+
+
+def read_chars(texts: list[bytes]) -> list[Symbols]:
+    """Code characters of each text."""
+    out = []
+    for text in texts:
+        raw = np.frombuffer(text, np.uint8)
+        places = np.flatnonzero(_CODE[raw])
+        out.append(Symbols(raw[places], partial(_lines_of, raw, places)))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            symbols = [np.frombuffer(x.encode(), np.uint8).astype("<u4").tobytes() for x in batch.column("chars").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("repo_id"), pa.array(symbols, pa.binary()), batch.column("lines"), pa.array([None] * len(symbols), pa.list_(pa.int32()))], ["file_id", "repo_id", "symbols", "lines", "sizes"])
 
-    rows = files.select("file_id", "repo_id", text.code_chars(body).alias("chars"), text.code_lines(body).alias("lines"))
-    return rows.mapInArrow(run, SYMBOLS)
+def _lines_of(raw: np.ndarray, places: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.searchsorted(np.flatnonzero(raw == 0x0A), places[at]) + 1
+
+
+def read_lines(texts: list[bytes]) -> list[Symbols]:
+    """Lines that have code characters: each the folded hash of those."""
+    cut, numbers, sizes = [], [], []
+    for text in texts:
+        raw = np.frombuffer(text, np.uint8)
+        code = _CODE[raw]
+        line = np.cumsum(raw == 0x0A)[code]
+        values = raw[code]
+        heads = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
+        cut += np.split(values, heads[1:]) if len(heads) else []
+        numbers.append(line[heads] + 1)
+        sizes.append(np.diff(np.append(heads, len(line))))
+    h = kernels.fnv_many(cut, 4)
+    folded = ((h & np.uint64(0xFFFFFFFF)) ^ (h >> np.uint64(32))).astype(np.uint32)
+    ends = np.cumsum([len(n) for n in numbers])
+    return [Symbols(folded[e - len(n) : e], n.__getitem__, z) for e, n, z in zip(ends.tolist(), numbers, sizes, strict=True)]
+
+
+def read_tokens(texts: list[bytes]) -> list[Symbols]:
+    return [Symbols(t, n.__getitem__) for t, n in kernels.tokens_many(texts)]
+
+
+READERS: dict[str, Callable[[list[bytes]], list[Symbols]]] = {"char": read_chars, "line": read_lines, "token": read_tokens}
 
 
 def line_symbols(files: DataFrame) -> DataFrame:
-    """Lines that have code characters, each a folded hash, with numbers and lengths."""
+    """(file_id, repo_id, symbols, lines, sizes): lines that have code characters,
+    each a folded hash of four bytes, with numbers and lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, 500):  # lines of many files are hashed together
-                batch = whole.slice(a, 500)
-                files = [[(i + 1, x) for i, x in enumerate(lines) if x] for lines in batch.column("lines").to_pylist()]
-                h = kernels.fnv_many([np.frombuffer(x.encode(), np.uint8) for kept in files for _, x in kept], 4)
-                folded = ((h & np.uint64(0xFFFFFFFF)) ^ (h >> np.uint64(32))).astype("<u4")
-                ends = np.cumsum([len(kept) for kept in files])
-                symbols = [folded[e - len(kept) : e].tobytes() for kept, e in zip(files, ends, strict=True)]
-                numbers, sizes = [[i for i, _ in kept] for kept in files], [[len(x) for _, x in kept] for kept in files]
-                arrays = [pa.array(symbols, pa.binary()), pa.array(numbers, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))]
+            for batch in slabs(whole, "body"):
+                found = read_lines(bytes_of(batch.column("body")))
+                numbers = [s.lines(np.arange(len(s.values))) for s in found]
+                arrays = [pa.array([s.values.astype("<u4").tobytes() for s in found], pa.binary()), pa.array(numbers, pa.list_(pa.int32())), pa.array([s.sizes for s in found], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("repo_id"), *arrays], ["file_id", "repo_id", "symbols", "lines", "sizes"])
 
-    each = F.transform(F.split(lossy(F.col("content")), "\n"), text.code_chars)
-    return files.select("file_id", "repo_id", each.alias("lines")).mapInArrow(run, SYMBOLS)
+    return files.select("file_id", "repo_id", lossy(F.col("content")).alias("body")).mapInArrow(run, SYMBOLS)
 
 
 def slabs(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -92,8 +132,9 @@ def group_numbers(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(change)]) if table.num_rows else np.zeros(0, np.int64)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 50_000) -> Iterator[pa.Table]:
-    """Tables of whole groups, of at least so many rows but the last."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 50_000, thin: Callable[[pa.Table], pa.Table] | None = None) -> Iterator[pa.Table]:
+    """Tables of whole groups, of at least so many rows but the last.  `thin` may drop
+    rows of a group that is still growing."""
     held: list[pa.RecordBatch] = []
     rows, goal = 0, least
     for batch in batches:
@@ -107,7 +148,9 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int
             cut = int(np.searchsorted(numbers, numbers[-1]))
             if cut:
                 yield table.slice(0, cut)
-            held, rows = table.slice(cut).combine_chunks().to_batches(), table.num_rows - cut
+            rest = table.slice(cut).combine_chunks()
+            rest = thin(rest) if thin else rest
+            held, rows = rest.to_batches(), rest.num_rows
             goal = max(least, 2 * rows)  # a large group is put together once for each doubling
     if held:
         yield pa.Table.from_batches(held).combine_chunks()

@@ -1,8 +1,15 @@
 """Maximal repeated spans of symbols: one engine for characters, lines and tokens.
 
-Winnowed fingerprints are joined on their hash; seeds are gathered by file pair, and
-a kernel finds, on each seeded diagonal, the maximal run of equal symbols around the
-seeds.  Matches become occurrences, and occurrences of one symbol string a group.
+Fingerprints are winnowed in each file.  Buckets of equal ones are dealt by hash; in
+a bucket, two fingerprints are a seed of the diagonal (file a, file b, distance).
+Seeds that follow each other on a diagonal are known from the bucket alone, since
+each fingerprint carries a hash of the symbols up to its neighbours: only the first
+and the last seed of a run are events, and each also tells, from the symbols around
+it, how far the run goes beyond it.  A run of one seed ends where it starts, and
+needs no shuffle; events of longer ones meet by file pair.  Places of runs, each
+once, go back to their files, which give them a digest and lines; places of one
+digest are a group.  Texts are shuffled once to get fingerprints' surroundings and
+once for digests, never to a pair of files.
 """
 
 from __future__ import annotations
@@ -13,10 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels, text
+from ..functions import kernels
+from ..sources.shared import Stage
+from . import prepare
 
 
 @dataclass(frozen=True)
@@ -25,8 +34,8 @@ class SpanParams:
     k: int
     w: int
     cross_repo_only: bool = False
-    max_bucket: int | None = 512
-    min_chars: int = 0  # of the sizes of a span's symbols, both sides
+    max_bucket: int | None = 512  # occurrences of one fingerprint; None: all of them
+    min_chars: int = 0  # of the sizes of a span's symbols
 
     @classmethod
     def exact(cls, min_len: int, **more) -> SpanParams:
@@ -36,36 +45,83 @@ class SpanParams:
 
 
 LINES = SpanParams(2, 2, 8)
+FAR = 64  # symbols between neighbours that are hashed as a link
+WIDE = 128  # symbols carried around a fingerprint beside which others were cut
+# Bytes of a symbol; tokens are numbered anew to fit into two.
+CODES = {"char": np.dtype("u1"), "line": np.dtype("<u4"), "token": np.dtype("<u2")}
 
 
-def fingerprints(symbols: DataFrame, params: SpanParams) -> DataFrame:
-    """(file_id, repo_id, pos, hash) with the hash's 64 bits as a long."""
+def coded(kind: str, values: np.ndarray) -> np.ndarray:
+    if kind == "token":
+        return np.where(values >= kernels.PUNCT, values - kernels.PUNCT + 1000, values).astype("<u2")
+    return values.astype(CODES[kind])
+
+
+def _bodies(files: DataFrame, *more: str) -> DataFrame:
+    return files.select("file_id", "repo_id", *more, prepare.lossy(F.col("content")).alias("body"))
+
+
+def fingerprints(files: DataFrame, kind: str, params: SpanParams) -> DataFrame:
+    """(hash, repo_id, file_id, pos) with the hash's 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, repo, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                at, h = kernels.winnowed(np.frombuffer(data, "<u4"), params.k, params.w)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.int64()), pa.array([repo] * n, pa.int32()), pa.array(at, pa.int32()), pa.array(h.view(np.int64))], ["file_id", "repo_id", "pos", "hash"])
+        for whole in batches:
+            for batch in prepare.slabs(whole, "body"):
+                found = [kernels.winnowed(s.values, params.k, params.w) for s in prepare.READERS[kind](prepare.bytes_of(batch.column("body")))]
+                size = np.array([len(at) for at, _ in found])
+                if size.sum():
+                    own = [pa.array(np.repeat(batch.column(c).to_numpy(), size)) for c in ("repo_id", "file_id")]
+                    at, h = (np.concatenate([f[i] for f in found]) for i in range(2))
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *own, pa.array(at.astype(np.int32))], ["hash", "repo_id", "file_id", "pos"])
+
+    # a text too short for a match has no fingerprint: drop it before Python starts
+    rows = _bodies(files)
+    least = 2 * params.min_len - 1 if kind == "line" else 1 if kind == "token" else params.min_len
+    return rows.where(F.octet_length("body") >= least).mapInArrow(run, "hash long, repo_id int, file_id long, pos int")
 
-    # files too short for a match have no fingerprint: drop them before Python starts
-    longest = symbols.where(F.octet_length("symbols") >= 4 * params.min_len)
-    return longest.select("file_id", "repo_id", "symbols").mapInArrow(run, "file_id long, repo_id int, pos int, hash long")
+
+def _turns(of: np.ndarray, repo: np.ndarray) -> np.ndarray:
+    """For rows in the order of bucket and root, each row's number in its root."""
+    first = np.concatenate([[True], (of[1:] != of[:-1]) | (repo[1:] != repo[:-1])])
+    heads = np.flatnonzero(first)
+    return np.arange(len(of)) - np.repeat(heads, np.diff(np.append(heads, len(of))))
 
 
 def buckets(prints: DataFrame, max_bucket: int | None) -> DataFrame:
-    """`prints` of hashes that occur more than once.  Of a hash with more than
-    `max_bucket` occurrences, roots give one in turn, in the order of file and
-    position.  Only such buckets are sorted."""
-    sizes = prints.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = prints.join(sizes, "hash")
-    if max_bucket is None:
-        return rows.drop("n")
-    turn = F.row_number().over(Window.partitionBy("hash", "repo_id").orderBy("file_id", "pos"))
-    large = rows.where(F.col("n") > max_bucket).withColumn("turn", turn)
-    place = F.row_number().over(Window.partitionBy("hash").orderBy("turn", "repo_id"))
-    large = large.withColumn("place", place).where(F.col("place") <= max_bucket).drop("turn", "place")
-    return rows.where(F.col("n") <= max_bucket).unionByName(large).drop("n")
+    """(file_id, repo_id, pos, cut) of fingerprints whose hash occurs more than once.
+    Of a hash with more than `max_bucket` occurrences, roots give one in turn, in the
+    order of file and position; `cut` marks what is left of such.  A bucket streams
+    through: of one still growing only the first `max_bucket` of each root are held."""
+    cap = max_bucket
+
+    def ordered(table: pa.Table) -> pa.Table:
+        return table.take(pa.array(np.lexsort([table.column(c).to_numpy() for c in ("pos", "file_id", "repo_id", "hash")])))
+
+    def thin(table: pa.Table) -> pa.Table:
+        if cap is None or table.num_rows <= cap:
+            return table
+        table = ordered(table)
+        # one more than can be kept, so that a cut bucket stays above the cap
+        return table.filter(pa.array(_turns(np.zeros(table.num_rows), table.column("repo_id").to_numpy()) <= cap))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in prepare.whole_groups(batches, ["hash"], thin=thin):
+            of = prepare.group_numbers(table, ["hash"])
+            n = np.bincount(of)[of]
+            columns = ["file_id", "repo_id", "pos"]
+            large = n > cap if cap is not None else np.zeros(len(n), dtype=bool)
+            small = table.select(columns).filter(pa.array((n > 1) & ~large))
+            yield from small.append_column("cut", pa.array(np.zeros(small.num_rows, dtype=bool))).combine_chunks().to_batches()
+            if large.any():
+                part = ordered(table.filter(pa.array(large)))
+                of, repo = prepare.group_numbers(part, ["hash"]), part.column("repo_id").to_numpy()
+                order = np.lexsort((repo, _turns(of, repo), of))
+                place = np.empty(len(of), dtype=np.int64)
+                place[order] = _turns(of[order], np.zeros(len(of)))
+                part = part.select(columns).filter(pa.array(place < cap))
+                yield from part.append_column("cut", pa.array(np.ones(part.num_rows, dtype=bool))).combine_chunks().to_batches()
+
+    return prepare.dealt(prints, ["hash"]).mapInArrow(run, "file_id long, repo_id int, pos int, cut boolean")
 
 
 def truncated(prints: DataFrame, max_bucket: int) -> DataFrame:
@@ -73,20 +129,222 @@ def truncated(prints: DataFrame, max_bucket: int) -> DataFrame:
     return prints.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_bucket).withColumn("dropped", F.col("n") - max_bucket)
 
 
-def seeds(kept: DataFrame, cross_repo_only: bool) -> DataFrame:
-    """(fa, fb, starts): for each file pair its seeds as (pos a, diagonal).  Seeds of
-    one diagonal that lie behind each other belong to one run, so a pair's seeds are
-    few against its raw matches once they are a set."""
-    a = kept.select("hash", F.col("repo_id").alias("ra"), F.col("file_id").alias("fa"), F.col("pos").alias("pa"))
-    b = kept.select("hash", F.col("repo_id").alias("rb"), F.col("file_id").alias("fb"), F.col("pos").alias("pb"))
-    both = a.join(b, "hash").where("fa < fb OR (fa = fb AND pa < pb)")
-    if cross_repo_only:
-        both = both.where("ra <> rb")
-    return both.groupBy("fa", "fb").agg(F.collect_set(F.struct((F.col("pb") - F.col("pa")).alias("d"), F.col("pa").alias("p"))).alias("starts"))
+def _mixed(*parts: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(parts[0]), dtype=np.uint64)
+    for p in parts:
+        h = kernels.splitmix(h ^ p.astype(np.uint64))
+    return h
+
+
+def _links(values: np.ndarray, at: np.ndarray, h: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For neighbours at[i] and at[i + 1] a hash of the symbols from the first through
+    the second's k-gram; of neighbours far apart, a number that no other row has."""
+    gap = np.diff(at)
+    near = np.flatnonzero(gap <= FAR)
+    out = _mixed(own[:-1], at[:-1], np.full(len(gap), 7))
+    total, left, start, size = np.zeros(len(near), dtype=np.uint64), np.arange(len(near)), at[:-1][near], gap[near]
+    with np.errstate(over="ignore"):
+        for j in range(int(size.max()) if len(size) else 0):
+            left = left[size[left] > j]
+            total[left] = total[left] * kernels.POLY + values[start[left] + j].astype(np.uint64) + np.uint64(1)
+    out[near] = _mixed(total, size, h[1:][near])
+    return out
+
+
+def surroundings(files: DataFrame, kept: DataFrame, kind: str, params: SpanParams) -> DataFrame:
+    """What a bucket needs of each kept fingerprint: links to its neighbours in the
+    file, the symbols before it (the nearest first) and behind it, and whether those
+    reach the file's start and end."""
+    schema = "hash long, file_id long, repo_id int, pos int, before long, behind long, left_ binary, right_ binary, edges int"
+    k, w, width = params.k, params.w, CODES[kind].itemsize
+    places = kept.groupBy("file_id").agg(F.collect_list(F.struct("pos", "cut")).alias("places"))
+    rows = _bodies(files).join(places, "file_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in schema.split(", ")]
+        for whole in batches:
+            for batch in prepare.slabs(whole, "body"):
+                read = prepare.READERS[kind](prepare.bytes_of(batch.column("body")))
+                out: list[list] = [[] for _ in names]
+                for file, repo, where, symbols in zip(batch.column("file_id").to_pylist(), batch.column("repo_id").to_pylist(), batch.column("places"), read, strict=True):
+                    at = where.values.field("pos").to_numpy().astype(np.int64)
+                    order = np.argsort(at)
+                    at, cut = at[order], where.values.field("cut").to_numpy(zero_copy_only=False)[order]
+                    values, n = symbols.values, len(symbols.values)
+                    h = kernels.poly_hashes(values, k)[at]
+                    own = np.full(len(at), file, dtype=np.int64)
+                    link = _links(values, at, h, own)
+                    alone = _mixed(own[:1], own[:1], np.array([3])), _mixed(own[:1], own[:1], np.array([5]))
+                    gap = np.diff(at, prepend=-1, append=n + 1)
+                    odd = cut | (gap[:-1] > w)
+                    odd[1:] |= cut[:-1]
+                    odd_ = cut | (gap[1:] > w)
+                    odd_[:-1] |= cut[1:]
+                    a = np.minimum(at, np.where(odd, WIDE, w))
+                    b = np.minimum(n - at - k, np.where(odd_, WIDE, w))
+                    forth = coded(kind, values).tobytes()
+                    back = coded(kind, values[::-1]).tobytes()
+                    columns = [
+                        h.view(np.int64), own, np.full(len(at), repo, dtype=np.int32), at.astype(np.int32),
+                        np.concatenate([alone[0], link]).view(np.int64), np.concatenate([link, alone[1]]).view(np.int64),
+                        [back[(n - p) * width : (n - p + m) * width] for p, m in zip(at.tolist(), a.tolist(), strict=True)],
+                        [forth[(p + k) * width : (p + k + m) * width] for p, m in zip(at.tolist(), b.tolist(), strict=True)],
+                        ((a == at) + 2 * (b == n - at - k)).astype(np.int32),
+                    ]
+                    for held, column in zip(out, columns, strict=True):
+                        held.append(column)
+                if out[0]:
+                    arrays = [pa.array([x for part in c for x in part], pa.binary()) if isinstance(c[0], list) else pa.array(np.concatenate(c)) for c in out]
+                    yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _words(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """([row, word], lengths in bytes) of a binary column, filled up with zeros."""
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
+    size = np.diff(offsets)
+    most = max(8, -(-int(size.max(initial=0)) // 8) * 8)
+    matrix = np.zeros((len(size), most), dtype=np.uint8)
+    data = np.frombuffer(array.buffers()[2], np.uint8) if array.buffers()[2] is not None else np.zeros(0, np.uint8)
+    matrix[np.arange(most) < size[:, None]] = data[offsets[0] : offsets[-1]]
+    return matrix.view("<u8"), size
+
+
+def _common(words: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bytes that rows i and j have in common from their start."""
+    out, live = np.minimum(size[i], size[j]), np.arange(len(i))
+    for t in range(words.shape[1]):
+        differs = words[i[live], t] ^ words[j[live], t]
+        ends = differs != 0
+        with np.errstate(over="ignore"):
+            low = np.bitwise_count((differs[ends] & (~differs[ends] + np.uint64(1))) - np.uint64(1)) // 8
+        out[live[ends]] = np.minimum(out[live[ends]], 8 * t + low)
+        live = live[~ends]
+        live = live[out[live] > 8 * (t + 1)]
+        if not len(live):
+            break
+    return out
+
+
+# Events of a run: what is known at its first seed and at its last.
+START, END = 0, 1
+EVENT = "fa long, fb long, distance int, pos int, what int, beyond int, sure boolean"
+PLACE = "file_id long, start int, len int"
+
+
+def _batch(schema: str, columns) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.zeros(max(0, len(order) - 1), dtype=bool)
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    keep = np.concatenate([[True], new]) if len(order) else np.zeros(0, dtype=bool)
+    return [c[keep] for c in columns]
+
+
+def seeds(rows: DataFrame, kind: str, params: SpanParams) -> DataFrame:
+    """EVENT's columns, of runs of several seeds and of those whose ends aren't in
+    sight; and PLACE's columns (as fa, pos, beyond; `what` is null), of spans known
+    at once.  A bucket's pairs are looked at but for the few that begin or end a run."""
+    width, k = CODES[kind].itemsize, params.k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in prepare.whole_groups(batches, ["hash"], 20_000):
+            of = prepare.group_numbers(table, ["hash"])
+            file, repo, pos, before, behind, edges = (table.column(c).to_numpy() for c in ("file_id", "repo_id", "pos", "before", "behind", "edges"))
+            left, right = _words(table.column("left_")), _words(table.column("right_"))
+            live, found, held = np.arange(len(of)), [], 0
+            for d in range(1, len(of)):
+                live = live[live + d < len(of)]
+                live = live[of[live] == of[live + d]]
+                if not len(live):
+                    break
+                new = (before[live] != before[live + d]) | (behind[live] != behind[live + d])
+                if params.cross_repo_only:
+                    new &= repo[live] != repo[live + d]
+                found.append(np.stack([live[new], live[new] + d]))
+                held += int(new.sum())
+                if held >= 1 << 18:
+                    yield from events(np.concatenate(found, axis=1), file, pos, before, behind, edges, left, right)
+                    found, held = [], 0
+            if held:
+                yield from events(np.concatenate(found, axis=1), file, pos, before, behind, edges, left, right)
+
+    def events(pairs, file, pos, before, behind, edges, left, right) -> Iterator[pa.RecordBatch]:
+        i, j = pairs
+        turned = (file[i] > file[j]) | ((file[i] == file[j]) & (pos[i] > pos[j]))
+        i, j = np.where(turned, j, i), np.where(turned, i, j)
+        starts, ends = before[i] != before[j], behind[i] != behind[j]
+        a, b = (_common(*side, i, j) // width for side in (left, right))
+        # the symbols in sight end in a difference, or with one of the files
+        sure = [(n * width < np.minimum(size[i], size[j])) | ((size[i] == n * width) & (edges[i] & bit > 0)) | ((size[j] == n * width) & (edges[j] & bit > 0)) for n, size, bit in ((a, left[1], 1), (b, right[1], 2))]
+        done = starts & ends & sure[0] & sure[1]
+        length = a + k + b
+        good = done & (length >= params.min_len) & ((file[i] != file[j]) | (pos[j] - pos[i] >= length))
+        x = _distinct(np.concatenate([file[i[good]], file[j[good]]]), np.concatenate([(pos[i] - a)[good], (pos[j] - a)[good]]), np.concatenate([length[good]] * 2))
+        if len(x[0]):
+            none = pa.nulls(len(x[0]), pa.int32())
+            yield _batch(EVENT, [x[0], pa.nulls(len(x[0]), pa.int64()), none, x[1], none, x[2], pa.nulls(len(x[0]), pa.bool_())])
+        for what, some, beyond, known in ((START, starts & ~done, a, sure[0]), (END, ends & ~done, b, sure[1])):
+            if some.any():
+                order = np.lexsort((file[j[some]], file[i[some]]))  # neighbours in a shuffle file pack well
+                p, q = i[some][order], j[some][order]
+                yield _batch(EVENT, [file[p], file[q], pos[q] - pos[p], pos[p], np.full(len(p), what), beyond[some][order], known[some][order]])
+
+    return prepare.dealt(rows, ["hash"]).mapInArrow(run, EVENT)
+
+
+def joined(events: DataFrame, params: SpanParams) -> DataFrame:
+    """Runs from their events: PLACE's columns (as fa, pos, beyond), both places of a
+    run; or, where the ends of a run weren't in sight, (fa, fb, distance, pos): a seed."""
+    schema = "fa long, fb long, distance int, pos int, beyond int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in prepare.whole_groups(batches, ["fa"]):
+            table = table.take(pa.array(np.lexsort([table.column(c).to_numpy() for c in ("what", "pos", "distance", "fb", "fa")])))
+            of = prepare.group_numbers(table, ["fa", "fb", "distance"])
+            fa, fb, distance, pos, what, beyond, sure = (table.column(c.split()[0]).to_numpy() for c in EVENT.split(", "))
+            first = np.flatnonzero(what == START)
+            last = first + 1  # rows are in the order of place, a start before an end
+            start, end = pos[first] - beyond[first], pos[last] + params.k + beyond[last]
+            group, sure_a, sure_b = of[first], sure[first], sure[last]
+            # runs that touch are parts of one
+            order = np.lexsort((start, group))
+            first, start, end, group, sure_a, sure_b = (x[order] for x in (first, start, end, group, sure_a, sure_b))
+            far = np.int64(1) << 32
+            reach = np.maximum.accumulate(end + group * far)
+            new = np.concatenate([[True], start[1:] + group[1:] * far > reach[:-1]])
+            heads = np.flatnonzero(new)
+            run_of = np.cumsum(new) - 1
+            lo, hi = np.minimum.reduceat(start, heads), np.maximum.reduceat(end, heads)
+            known = [np.zeros(len(heads), dtype=bool), np.zeros(len(heads), dtype=bool)]
+            np.logical_or.at(known[0], run_of, sure_a & (start == lo[run_of]))
+            np.logical_or.at(known[1], run_of, sure_b & (end == hi[run_of]))
+            at = first[heads]
+            a, b, d, n = fa[at], fb[at], distance[at], hi - lo
+            whole = known[0] & known[1]
+            good = whole & (n >= params.min_len) & ((a != b) | (d >= n))
+            x = _distinct(np.concatenate([a[good], b[good]]), np.concatenate([lo[good], (lo + d)[good]]), np.concatenate([n[good]] * 2))
+            none = pa.nulls(len(x[0]), pa.int64())
+            yield _batch(schema, [x[0], none, none.cast(pa.int32()), x[1], x[2]])
+            if not whole.all():
+                open_ = ~whole
+                yield _batch(schema, [a[open_], b[open_], d[open_], pos[at][open_], pa.nulls(int(open_.sum()), pa.int32())])
+
+    return prepare.dealt(events, ["fa"]).mapInArrow(run, schema)
 
 
 def runs(a: np.ndarray, b: np.ndarray, starts: list[tuple[int, int]], min_len: int, same: bool) -> list[tuple[int, int, int]]:
-    """(start a, start b, length) of the maximal equal runs through the seeds."""
+    """(start a, start b, length) of the maximal equal runs through the seeds, given
+    as (distance, place in a)."""
     out, of = [], {}
     for d, p in starts:
         of.setdefault(d, []).append(p)
@@ -105,56 +363,123 @@ def runs(a: np.ndarray, b: np.ndarray, starts: list[tuple[int, int]], min_len: i
     return out
 
 
-def occurrences(symbols: DataFrame, params: SpanParams) -> DataFrame:
-    """(key, len, file_id, start): each place of each repeated span, once.  `key` is a
-    digest of the span's symbols."""
-    pairs = seeds(buckets(fingerprints(symbols, params), params.max_bucket), params.cross_repo_only)
-    side = lambda s: symbols.select(F.col("file_id").alias(f"f{s}"), F.col("symbols").alias(f"s{s}"), F.col("sizes").alias(f"z{s}"))
-    rows = pairs.join(side("a"), "fa").join(side("b"), "fb")
+def extended(files: DataFrame, open_: DataFrame, kind: str, params: SpanParams) -> DataFrame:
+    """PLACE's columns of runs whose ends weren't in sight, from the texts of both
+    files.  They lie among more than WIDE symbols of cut fingerprints, so are few."""
+    starts = open_.groupBy("fa", "fb").agg(F.collect_set(F.struct("distance", "pos")).alias("starts"))
+    side = lambda s: _bodies(files).select(F.col("file_id").alias(f"f{s}"), F.col("body").alias(f"body_{s}"))
+    rows = starts.join(side("a"), "fa").join(side("b"), "fb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = prepare.READERS[kind]
         for batch in batches:
             out = set()
-            for fa, fb, starts, sa, sb, za, zb in zip(*(batch.column(n).to_pylist() for n in ("fa", "fb", "starts", "sa", "sb", "za", "zb")), strict=True):
-                a, b = np.frombuffer(sa, "<u4"), np.frombuffer(sb, "<u4")
-                for p, q, n in runs(a, b, [(s["d"], s["p"]) for s in starts], params.min_len, fa == fb):
-                    if params.min_chars and (sum(za[p : p + n]) < params.min_chars or sum(zb[q : q + n]) < params.min_chars):
-                        continue
-                    key = hashlib.blake2b(a[p : p + n].tobytes(), digest_size=16).hexdigest()
-                    out |= {(key, n, fa, p), (key, n, fb, q)}
-            columns = list(zip(*sorted(out), strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["key", "len", "file_id", "start"])
-
-    found = rows.select("fa", "fb", "starts", "sa", "sb", "za", "zb").mapInArrow(run, "key string, len int, file_id long, start int")
-    return found.dropDuplicates(["key", "len", "file_id", "start"])
-
-
-def placed(found: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """`found` with roots, paths and lines."""
-    where = symbols.select("file_id", "lines").join(files.select("file_id", "repo_id", "repo_label", "path"), "file_id")
-    rows = found.join(where, "file_id")
-    line = lambda at: F.element_at("lines", at + 1)
-    return rows.withColumns({"start_line": line(F.col("start")), "end_line": line(F.col("start") + F.col("len") - 1)}).drop("lines")
-
-
-def grouped(found: DataFrame, files: DataFrame, symbols: DataFrame, params: SpanParams) -> DataFrame:
-    """(hash, normalized_len, n_members, n_repos, key, occurrences) of each repeated
-    span; occurrences sorted by root, path and lines."""
-    rows = placed(found, files, symbols)
-    groups = rows.groupBy("key", "len").agg(
+            for fa, fb, seeds_, ta, tb in zip(*(batch.column(n).to_pylist() for n in ("fa", "fb", "starts", "body_a", "body_b")), strict=True):
+                a, b = (s.values for s in read([ta.encode(), tb.encode()]))
+                for p, q, n in runs(a, b, [(s["distance"], s["pos"]) for s in seeds_], params.min_len, fa == fb):
+                    out |= {(fa, p, n), (fb, q, n)}
+            yield _batch(PLACE, list(zip(*sorted(out), strict=True)) if out else [[], [], []])
+
+    return rows.select("fa", "fb", "starts", "body_a", "body_b").mapInArrow(run, PLACE)
+
+
+def occurrences(files: DataFrame, kind: str, params: SpanParams) -> DataFrame:
+    """PLACE's columns: the places of repeated spans, some more than once."""
+    stage = Stage(files.sparkSession, f"spans-{kind}")
+    kept = stage.write(buckets(fingerprints(files, kind, params), params.max_bucket), "kept")
+    found = stage.write(seeds(surroundings(files, kept, kind, params), kind, params), "seeds")
+    stage.drop("kept")
+    met = stage.write(joined(found.where("what IS NOT NULL"), params), "runs")
+    at_once = found.where("what IS NULL").select(F.col("fa").alias("file_id"), F.col("pos").alias("start"), F.col("beyond").alias("len"))
+    places = at_once.unionByName(met.where("fb IS NULL").select(F.col("fa").alias("file_id"), F.col("pos").alias("start"), F.col("beyond").alias("len")))
+    open_ = met.where("fb IS NOT NULL")
+    if not open_.isEmpty():
+        places = places.unionByName(extended(files, open_, kind, params))
+    return places
+
+
+FOUND = "key binary, hash long, len int, repo_id int, path string, file_id long, start int, start_line int, end_line int"
+
+
+def digested(files: DataFrame, places: DataFrame, kind: str, params: SpanParams, sample: bool = False) -> DataFrame:
+    """Places with a digest of their symbols, FNV hash and lines; with `sample` also
+    the symbols, four bytes each.  A file's places are read from it at once, each of
+    them once."""
+    schema = FOUND + ", sample binary" * sample
+    own = places.groupBy("file_id").agg(F.collect_set(F.struct("start", "len")).alias("places"))
+    rows = _bodies(files, "path").join(own, "file_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in prepare.slabs(whole, "body"):
+                read = prepare.READERS[kind](prepare.bytes_of(batch.column("body")))
+                hashed: dict[bytes, int] = {}
+                todo, out = [], []
+                for file, repo, path, where, s in zip(*(batch.column(c).to_pylist() for c in ("file_id", "repo_id", "path")), batch.column("places"), read, strict=True):
+                    start, size = (where.values.field(c).to_numpy().astype(np.int64) for c in ("start", "len"))
+                    a, b = s.lines(start), s.lines(start + size - 1)
+                    code = coded(kind, s.values)
+                    width, data = code.itemsize, code.tobytes()
+                    total = np.concatenate([[0], np.cumsum(s.sizes)]) if s.sizes is not None else None
+                    for p, n, x, y in zip(start.tolist(), size.tolist(), a.tolist(), b.tolist(), strict=True):
+                        if params.min_chars and total is not None and total[p + n] - total[p] < params.min_chars:
+                            continue
+                        key = hashlib.blake2b(data[p * width : (p + n) * width], digest_size=16).digest()
+                        if key not in hashed:
+                            hashed[key] = len(todo)
+                            todo.append(s.values[p : p + n])
+                        out.append((key, n, repo, path, file, p, x, y))
+                if out:
+                    h = kernels.fnv_many(todo, 4).view(np.int64)
+                    key, *others = zip(*out, strict=True)
+                    which = np.array([hashed[k] for k in key])
+                    columns = [key, h[which], *others]
+                    if sample:
+                        columns.append([todo[i].astype("<u4").tobytes() for i in which.tolist()])
+                    types = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], [c.split()[0] for c in schema.split(", ")])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _grouped(members: DataFrame, params: SpanParams) -> DataFrame:
+    groups = members.groupBy("key", "hash", "len").agg(
         F.count(F.lit(1)).alias("n_members"),
-        F.countDistinct("repo_id").alias("n_repos"),
-        F.min(F.struct("repo_id", "path", "file_id", "start")).alias("first"),
-        F.sort_array(F.collect_list(F.struct("repo_id", "repo_label", "path", "start_line", "end_line"))).alias("occurrences"),
+        F.size(F.collect_set("repo_id")).cast("long").alias("n_repos"),
+        F.min(F.struct("repo_id", "path", "start_line", "end_line", "file_id", "start")).alias("first"),
     ).where("n_members > 1")
-    if params.cross_repo_only:
-        groups = groups.where("n_repos > 1")
-    sample = groups.select("*", F.col("first.file_id").alias("file_id"), F.col("first.start").alias("start")).join(symbols.select("file_id", "symbols"), "file_id")
-    part = F.substring(F.col("symbols"), F.col("start") * 4 + 1, F.col("len") * 4)
-    return sample.withColumn("sample", part).select(
-        text.fnv_symbols("sample").alias("hash"), F.col("len").cast("long").alias("normalized_len"), "n_members", "n_repos", "key", "sample", "occurrences"
-    )
+    groups = groups.where("n_repos > 1") if params.cross_repo_only else groups
+    return groups.select(F.lower(F.lpad(F.hex("hash"), 16, "0")).alias("hash"), F.col("len").cast("long").alias("normalized_len"), "n_members", "n_repos", "first", "key")
+
+
+def span_counts(files: DataFrame, kind: str, params: SpanParams) -> DataFrame:
+    """(hash, normalized_len, n_members, n_repos, first, key) of each repeated span;
+    `first` is its first place by root, path and lines."""
+    return _grouped(digested(files, occurrences(files, kind, params), kind, params), params)
+
+
+def with_places(groups: DataFrame, places: DataFrame, files: DataFrame) -> DataFrame:
+    """`groups` with their occurrences, sorted by root, path and lines.  For the
+    groups that are shown: a list is one row, however long."""
+    labels = files.select("file_id", "repo_label")
+    own = places.join(labels, "file_id").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("repo_id", "repo_label", "path", "start_line", "end_line"))).alias("occurrences"))
+    return groups.join(own, "key")
+
+
+def with_samples(groups: DataFrame, files: DataFrame, kind: str, params: SpanParams) -> DataFrame:
+    """`groups` with the symbols of their first place, four bytes each."""
+    heads = groups.select(F.col("first.file_id").alias("file_id"), F.col("first.start").alias("start"), F.col("normalized_len").cast("int").alias("len"))
+    return groups.join(digested(files, heads, kind, params, sample=True).select("key", "sample").dropDuplicates(["key"]), "key")
 
 
-def span_groups(files: DataFrame, symbols: DataFrame, params: SpanParams) -> DataFrame:
-    return grouped(occurrences(symbols, params), files, symbols, params)
+def span_groups(files: DataFrame, kind: str, params: SpanParams, most: int | None = None) -> DataFrame:
+    """(hash, normalized_len, n_members, n_repos, first, key, sample, occurrences) of
+    each repeated span, or of the `most` with the most places and symbols."""
+    stage = Stage(files.sparkSession, f"groups-{kind}")
+    places = stage.write(digested(files, occurrences(files, kind, params), kind, params), "places")
+    groups = _grouped(places, params)
+    if most is not None:
+        groups = groups.orderBy(F.desc("n_members"), F.desc("normalized_len"), "hash", "first").limit(most)
+    groups = stage.write(groups, "groups")
+    keys = F.broadcast(groups.select("key")) if most is not None else groups.select("key")
+    return with_places(with_samples(groups, files, kind, params), places.join(keys, "key", "left_semi"), files)

@@ -116,14 +116,10 @@ def line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("repo_id", "path", F.col("x.lines").cast("long").alias("line_no"), F.col("x.sizes").cast("long").alias("n_chars"), F.conv(swapped, 16, 10).cast("long").alias("token"))
 
 
-def _prints(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, DataFrame, spans.SpanParams]:
+def _files(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, spans.SpanParams]:
     corpus = tables.documents(spark, sf_dir)
-    if kind == "token":
-        corpus = tables.as_code(corpus)
-    docs = prepare.numbered(corpus)
-    symbols = {"char": prepare.char_symbols, "line": prepare.line_symbols, "token": prepare.token_symbols}[kind](docs)
-    params = spans.LINES if kind == "line" else spans.SpanParams.exact(OPTIONS.min_match_len)
-    return docs, symbols, params
+    docs = prepare.identified(tables.as_code(corpus) if kind == "token" else corpus)
+    return docs, spans.LINES if kind == "line" else spans.SpanParams.exact(OPTIONS.min_match_len)
 
 
 LINE_TOKENS_SQL = f"""{CORPUS}, l AS (SELECT repo_id, path, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS line_no FROM corpus),
@@ -141,23 +137,22 @@ w AS (SELECT repo_id, path, pos AS last, min({{'h': h, 'back': -pos}}) OVER (PAR
 SELECT DISTINCT repo_id, path, (-m.back)::INTEGER AS pos, lower(lpad(to_hex(m.h), 16, '0')) AS hash FROM w WHERE last >= 7""",
 )
 def line_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, symbols, params = _prints(spark, sf_dir, "line")
-    found = spans.fingerprints(symbols, params).join(docs.select("file_id", "path"), "file_id")
+    docs, params = _files(spark, sf_dir, "line")
+    found = spans.fingerprints(docs, "line", params).join(docs.select("file_id", "path"), "file_id")
     return found.select("repo_id", "path", "pos", F.lower(F.lpad(F.hex("hash"), 16, "0")).alias("hash"))
 
 
 @register("bucket_truncation")
 def bucket_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, symbols, params = _prints(spark, sf_dir, "char")
-    found = spans.truncated(spans.fingerprints(symbols, params), params.max_bucket)
+    docs, params = _files(spark, sf_dir, "char")
+    found = spans.truncated(spans.fingerprints(docs, "char", params), params.max_bucket)
     return found.select(F.lower(F.lpad(F.hex("hash"), 16, "0")).alias("hash"), F.col("n").alias("n_occurrences"), F.col("dropped").alias("n_dropped"))
 
 
 def _span_rows(spark: SparkSession, sf_dir: str, kind: str, **more) -> DataFrame:
-    docs, symbols, params = _prints(spark, sf_dir, kind)
-    params = spans.SpanParams(**(params.__dict__ | more))
-    found = spans.span_groups(docs, symbols, params)
-    return found.select("hash", "normalized_len", "n_members", "n_repos", F.element_at("occurrences", 1)["path"].alias("first_path"), F.element_at("occurrences", 1)["start_line"].alias("first_line"))
+    docs, params = _files(spark, sf_dir, kind)
+    found = spans.span_counts(docs, kind, spans.SpanParams(**(params.__dict__ | more)))
+    return found.select("hash", "normalized_len", "n_members", "n_repos", F.col("first.path").alias("first_path"), F.col("first.start_line").alias("first_line"))
 
 
 @register("code_span_groups")
@@ -185,6 +180,10 @@ def _code(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return docs, prepare.token_symbols(docs)
 
 
+def _identified_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.as_code(prepare.identified(tables.documents(spark, sf_dir)))
+
+
 CODE_SQL = f"""{CORPUS}, code AS (
   SELECT repo_id, path, 'function f(x) {{' || chr(10) || 'if (x) {{' || replace(translate(body, 'aeiou"''#/', '+-*=;    '), chr(10), '}}' || chr(10) || 'if (x) {{') || '}}' || chr(10) || '}}' || chr(10) AS body
   FROM corpus)"""
@@ -249,21 +248,22 @@ def subtree_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("minhash_signatures")
 def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, tokens = _code(spark, sf_dir)
-    rows = blocks.signed_blocks(tokens, kinds=("minhash",)).join(docs.select("file_id", "path"), "file_id")
-    return rows.select("repo_id", "path", "block", F.array_join("minhash", ",").alias("minhash"))
+    docs = _identified_code(spark, sf_dir)
+    rows = blocks.signed_blocks(docs, kinds=("minhash",)).join(docs.select("file_id", "path"), "file_id")
+    slots = F.transform("minhash", lambda x: x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return rows.select("repo_id", "path", "block", F.array_join(slots, ",").alias("minhash"))
 
 
 @register("simhash_values")
 def simhash_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, tokens = _code(spark, sf_dir)
-    rows = blocks.signed_blocks(tokens, kinds=("simhash",)).join(docs.select("file_id", "path"), "file_id")
+    docs = _identified_code(spark, sf_dir)
+    rows = blocks.signed_blocks(docs, kinds=("simhash",)).join(docs.select("file_id", "path"), "file_id")
     return rows.select("repo_id", "path", "block", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("simhash"))
 
 
 def _links(spark: SparkSession, sf_dir: str, by: blocks.Likeness) -> DataFrame:
-    docs, tokens = _code(spark, sf_dir)
-    found = blocks.links(blocks.signed_blocks(tokens, kinds=(by.value,)), by)
+    docs = _identified_code(spark, sf_dir)
+    found = blocks.links(blocks.signed_blocks(docs, kinds=(by.value,)), by)
     return found.join(docs.select("file_id", "path"), "file_id").select("repo_id", "path", "block", "start_line", "end_line", "class_id", "n_links")
 
 
@@ -358,7 +358,7 @@ def report_topk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report's top 200 code spans, with previews."""
     from . import report
 
-    return report.top_spans(*_prints(spark, sf_dir, "char")[:2], OPTIONS)
+    return report.top_spans(_files(spark, sf_dir, "char")[0], OPTIONS)
 
 
 @register(

@@ -93,13 +93,17 @@ def with_previews(groups: DataFrame, corpus: DataFrame) -> DataFrame:
     return heads.join(own, ["__r", "__p"]).withColumn("preview", text.preview("__t", "__a", "__b")).drop("__r", "__p", "__a", "__b", "__t")
 
 
-def top_spans(docs: DataFrame, symbols: DataFrame, options: ScanOptions) -> DataFrame:
+def _letters() -> F.Column:
+    """The first 80 characters of a sample; every fourth byte is one."""
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.least(F.col("normalized_len"), F.lit(80)).cast("int") - 1), lambda i: F.decode(F.substring(F.col("sample"), i * 4 + 1, F.lit(1)), "utf-8")), "")
+
+
+def top_spans(docs: DataFrame, options: ScanOptions) -> DataFrame:
     """The first code span groups with their previews of 80 characters."""
     params = spans.SpanParams.exact(options.min_match_len, cross_repo_only=options.cross_repo_only, max_bucket=options.max_bucket)
-    found = top(spans.span_groups(docs, symbols, params), options.max_report_items)
-    # symbols of characters: every fourth byte of the sample is one
-    letters = F.transform(F.sequence(F.lit(0), F.least(F.col("normalized_len"), F.lit(80)).cast("int") - 1), lambda i: F.decode(F.substring(F.col("sample"), i * 4 + 1, F.lit(1)), "utf-8"))
-    return found.select("hash", "normalized_len", "n_members", "n_repos", F.array_join(letters, "").alias("preview"))
+    groups = spans.span_counts(docs, "char", params).orderBy(F.desc("n_members"), F.desc("normalized_len"), "hash", "first").limit(options.max_report_items)
+    found = spans.with_samples(groups, docs, "char", params)
+    return found.select("hash", "normalized_len", "n_members", "n_repos", _letters().alias("preview"))
 
 
 @dataclass
@@ -127,22 +131,20 @@ def generate(corpus: DataFrame, options: ScanOptions) -> Report:
     kept, stats = scanned(corpus, options, report=True)
     docs = prepare.numbered(kept)
     cross, most, cap = options.cross_repo_only, options.max_report_items, options.max_bucket
-    chars, lines, tokens = prepare.char_symbols(docs), prepare.line_symbols(docs), prepare.token_symbols(docs)
+    tokens = prepare.token_symbols(docs)
     by_kind = {
-        "code": (chars, spans.SpanParams.exact(options.min_match_len, cross_repo_only=cross, max_bucket=cap)),
-        "line": (lines, spans.SpanParams(2, 2, 8, cross, cap, options.min_match_len)),
-        "token": (tokens, spans.SpanParams.exact(options.min_token_len, cross_repo_only=cross, max_bucket=cap)),
+        "code": ("char", spans.SpanParams.exact(options.min_match_len, cross_repo_only=cross, max_bucket=cap)),
+        "line": ("line", spans.SpanParams(2, 2, 8, cross, cap, options.min_match_len)),
+        "token": ("token", spans.SpanParams.exact(options.min_token_len, cross_repo_only=cross, max_bucket=cap)),
     }
     shown = lambda g: with_previews(top(g, most), kept)
     sections = {"file_duplicates": files.nested(kept, cross).withColumn("n_members", F.size("files")).orderBy(F.desc("n_members"), F.desc("normalized_len"), "hash").limit(most)}
     for kind, (symbols, params) in by_kind.items():
-        found = spans.span_groups(docs, symbols, params)
-        sections[f"{kind}_span_duplicates"] = shown(found)
-    letters = F.transform(F.sequence(F.lit(0), F.least(F.col("normalized_len"), F.lit(80)).cast("int") - 1), lambda i: F.decode(F.substring(F.col("sample"), i * 4 + 1, F.lit(1)), "utf-8"))
-    sections["code_span_duplicates"] = top(spans.span_groups(docs, *by_kind["code"]), most).withColumn("preview", F.array_join(letters, ""))
+        found = spans.span_groups(docs, symbols, params, most)
+        sections[f"{kind}_span_duplicates"] = top(found, most).withColumn("preview", _letters()) if kind == "code" else shown(found)
     sections["block_duplicates"] = shown(blocks.duplicate_blocks(tokens, docs, options.min_token_len, cross))
     sections["ast_subtree_duplicates"] = shown(blocks.duplicate_subtrees(tokens, docs, options.min_token_len, cross))
-    signed = blocks.signed_blocks(tokens, options.min_token_len)
+    signed = blocks.staged(blocks.signed_blocks(docs, options.min_token_len))
     names = docs.select("file_id", "repo_id", "repo_label", "path")
 
     def pairs(found: DataFrame) -> DataFrame:
@@ -157,7 +159,7 @@ def generate(corpus: DataFrame, options: ScanOptions) -> Report:
     sections["similar_blocks_minhash"] = pairs(blocks.minhash_pairs(signed, options.similarity_threshold, cross))
     sections["similar_blocks_simhash"] = pairs(blocks.simhash_pairs(signed, options.simhash_max_distance, cross))
     if cap is not None:
-        cut = [spans.truncated(spans.fingerprints(s, p), cap).agg(F.coalesce(F.sum("dropped"), F.lit(0)).alias("n")) for s, p in by_kind.values()]
+        cut = [spans.truncated(spans.fingerprints(docs, s, p), cap).agg(F.coalesce(F.sum("dropped"), F.lit(0)).alias("n")) for s, p in by_kind.values()]
         total = cut[0].unionByName(cut[1]).unionByName(cut[2]).agg(F.sum("n").cast("long").alias("__cut"))
         stats = stats.crossJoin(F.broadcast(total)).withColumn("skipped_bucket_truncated", F.col("__cut")).drop("__cut")  # one row by one row
     return Report({s: sections[s] for s in SECTIONS}, stats)

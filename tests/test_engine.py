@@ -19,9 +19,8 @@ def corpus(spark, *rows):
     return spark.createDataFrame(data, "repo_id int, repo_label string, path string, content binary")
 
 
-def spans_of(spark, rows, params, symbols=prepare.char_symbols):
-    docs = prepare.numbered(corpus(spark, *rows))
-    return spans.span_groups(docs, symbols(docs), params).orderBy("hash").collect()
+def spans_of(spark, rows, params, kind="char"):
+    return spans.span_groups(prepare.numbered(corpus(spark, *rows)), kind, params).orderBy("hash").collect()
 
 
 def test_files_equal_but_for_blanks(spark):
@@ -54,7 +53,7 @@ def test_overlapping_repeats_of_one_file_are_dropped(spark):
 
 def test_bucket_cap_counts_and_keeps_results(spark):
     docs = prepare.numbered(corpus(spark, (0, "A", "a" * 320), (1, "B", "a" * 320)))
-    prints = spans.fingerprints(prepare.char_symbols(docs), spans.SpanParams.exact(50))
+    prints = spans.fingerprints(docs, "char", spans.SpanParams.exact(50))
     assert spans.truncated(prints, 512).first().dropped == 30
     kept = spans.buckets(prints, 512)
     assert kept.count() == 512
@@ -65,7 +64,7 @@ def test_line_spans_need_nine_lines(spark):
     lines = [f"line number {i} of a longer text" for i in range(12)]
     for n, want in ((8, 0), (9, 1)):
         rows = [(0, "A", "\n".join(lines[:n])), (0, "B", "\n\n".join(lines[:n]))]
-        found = spans_of(spark, rows, spans.LINES, prepare.line_symbols)
+        found = spans_of(spark, rows, spans.LINES, "line")
         assert len(found) == want
     assert found[0].normalized_len == 9 and [(o.start_line, o.end_line) for o in found[0].occurrences] == [(1, 9), (1, 17)]
 
@@ -88,8 +87,7 @@ def test_renamed_function_is_found_five_times(spark):
 def test_similar_blocks_against_all_pairs(spark, sf_dir):
     from corpusloom.plans import queries
 
-    docs, tokens = queries._code(spark, sf_dir)
-    signed = blocks.signed_blocks(tokens).cache()
+    signed = blocks.signed_blocks(queries._identified_code(spark, sf_dir)).cache()
     rows = signed.collect()
     place = lambda r: (r.file_id, r.block)
     m = lambda a, b: sum(x == y for x, y in zip(a.minhash, b.minhash, strict=True)) / 32 >= 0.85
@@ -137,7 +135,7 @@ def test_repartitioned_input_gives_the_same(spark):
     rows = [(i % 3, f"f{i}", f"{SNIPPET}{i}" * 2) for i in range(12)]
     one = spans_of(spark, rows, spans.SpanParams.exact(50))
     docs = prepare.numbered(corpus(spark, *rows).repartition(7))
-    two = spans.span_groups(docs, prepare.char_symbols(docs), spans.SpanParams.exact(50)).orderBy("hash").collect()
+    two = spans.span_groups(docs, "char", spans.SpanParams.exact(50)).orderBy("hash").collect()
     assert [(g.hash, g.occurrences) for g in one] == [(g.hash, g.occurrences) for g in two]
 
 
