@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -148,10 +149,16 @@ class Likeness:
             return cls("simhash", most, tuple(a | b for i, a in enumerate(runs) for b in runs[:i]))
         return cls("simhash", most, tuple(0xFFFF << 16 * i for i in range(4)))
 
-    def keys(self) -> F.Column:
+    def rounds(self) -> list[list[F.Column]]:
+        """The keys, (key, bits) each, in rounds: rows of 32 slots fill disks, so two
+        bands go at a time."""
         if self.value == "minhash":
-            return F.array(*[F.xxhash64(F.slice("v", 4 * i + 1, F.lit(4))) for i in range(8)])
-        return F.array(*[F.col("v").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in self.masks])
+            keys = [F.xxhash64(F.slice("v", 4 * i + 1, F.lit(4))) for i in range(8)]
+        else:
+            keys = [F.col("v").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in self.masks]
+        named = [F.struct(F.lit(i).alias("key"), k.alias("bits")) for i, k in enumerate(keys)]
+        size = 2 if self.value == "minhash" else len(named)
+        return [named[i : i + size] for i in range(0, len(named), size)]
 
     def judge(self, a: np.ndarray, b: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(what counts, similarity or distance) of pairs that share `key`."""
@@ -180,12 +187,13 @@ def staged(signed: DataFrame) -> DataFrame:
     return Stage(signed.sparkSession, "signed").write(signed, "blocks")
 
 
-def _compared(classes: DataFrame, by: Likeness, links: bool) -> DataFrame:
-    """Pairs of different classes that `by` counts, each once: (sa, sb, value); or
-    with `links` (sig, links), the blocks that a class is linked to in part, and no
-    pair leaves the kernel.  The signatures of a key are compared in tiles, however
-    many they are: a row goes to the tiles of its part, a task gets two parts."""
-    marked = classes.select("sig", "v", "n", F.posexplode(by.keys()).alias("key", "bits"))
+def _compared(classes: DataFrame, by: Likeness, links: bool, keys: list[F.Column]) -> DataFrame:
+    """Pairs of different classes that `by` counts at one of `keys`, each once: (sa,
+    sb, value); or with `links` (sig, links), the blocks that a class is linked to in
+    part, and no pair leaves the kernel.  The signatures of a key are compared in
+    tiles, however many they are: a row goes to the tiles of its part, a task gets
+    two parts."""
+    marked = classes.select("sig", "v", "n", F.explode(F.array(*keys)).alias("at")).select("sig", "v", "n", "at.key", "at.bits")
     sizes = marked.groupBy("key", "bits").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     parts = F.ceil(F.col("m") / TILE).cast("int")
     rows = marked.join(sizes, ["key", "bits"]).withColumn("part", F.pmod(F.xxhash64("sig", F.lit(1)), parts).cast("int"))
@@ -232,11 +240,13 @@ def links(signed: DataFrame, by: Likeness) -> DataFrame:
     """Each block with its class_id, equal for blocks of equal signatures, and
     n_links, the number of other blocks that are similar to it, its copies included.
     Links are counted, not written as pairs: a crowd of copies is one class."""
-    signed = staged(signed)
-    classes = _classes(signed, by)
-    found = _compared(classes, by, links=True).groupBy("sig").agg(F.sum("links").alias("links"))
-    counted = classes.join(found, "sig", "left").select(F.col("v").alias(by.value), F.col("sig").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.join(counted, by.value).select(*[x.split()[0] for x in SIGNED.split(", ")], "class_id", "n_links")
+    stage = Stage(signed.sparkSession, "links")
+    own = stage.write(signed.withColumn("sig", F.xxhash64(by.value)), "signed")
+    classes = stage.write(_classes(own, by), "classes")
+    found = [stage.write(_compared(classes, by, True, keys), f"round{i}") for i, keys in enumerate(by.rounds())]
+    linked = reduce(DataFrame.unionByName, found).groupBy("sig").agg(F.sum("links").alias("links"))
+    counted = classes.join(linked, "sig", "left").select("sig", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return own.join(counted, "sig").select(*[x.split()[0] for x in SIGNED.split(", ")], F.col("sig").alias("class_id"), "n_links")
 
 
 def _pairs(signed: DataFrame, by: Likeness, cross_repo_only: bool) -> DataFrame:
@@ -244,7 +254,7 @@ def _pairs(signed: DataFrame, by: Likeness, cross_repo_only: bool) -> DataFrame:
     sections of a report, which end after a few.  `links` is the form for a corpus."""
     classes = _classes(signed, by)
     equal = classes.where("n > 1").select(F.col("sig").alias("sa"), F.col("sig").alias("sb"), F.lit(0.0 if by.masks else 1.0).alias("value"))
-    near = _compared(classes, by, links=False)
+    near = reduce(DataFrame.unionByName, [_compared(classes, by, False, keys) for keys in by.rounds()])
     turned = near.select(F.col("sb").alias("sa"), F.col("sa").alias("sb"), "value")
     near = near.unionByName(turned).unionByName(equal)
     if by.masks:
