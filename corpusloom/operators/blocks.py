@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -128,16 +129,22 @@ def signed_blocks(files: DataFrame, min_token_len: int = 50, max_depth: int = 2,
 class Likeness:
     """How signatures are compared: candidates share one of several keys, and a pair
     counts at the first key that it shares, so nothing has to be made distinct.
-    `least` is the share of equal slots, or the most bits that differ."""
+    `least` is the share of equal slots, or the most bits that differ.  A key of
+    MinHash is a set of its 8 bands of 4 slots, one of SimHash a mask."""
 
     value: str
     least: float
     masks: tuple[int, ...] = ()
+    bands: tuple[tuple[int, ...], ...] = ()
 
     @classmethod
-    def minhash(cls, threshold: float) -> Likeness:
-        """Keys are 8 bands of 4 slots."""
-        return cls("minhash", threshold)
+    def minhash(cls, threshold: float, slots: int = 32) -> Likeness:
+        """Pairs that share one of 8 bands and enough slots.  If so few slots may
+        differ that at least 4 bands are equal, two of those lie in one of the groups
+        (0 1 2), (3 4 5) and (6 7): seven keys of two bands find the same pairs."""
+        differ = slots - math.ceil(threshold * slots - 1e-9)
+        pairs = ((0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5), (6, 7))
+        return cls("minhash", threshold, bands=pairs if differ <= 4 else tuple((i,) for i in range(8)))
 
     @classmethod
     def simhash(cls, most: int) -> Likeness:
@@ -151,26 +158,30 @@ class Likeness:
 
     def rounds(self) -> list[list[F.Column]]:
         """The keys, (key, bits) each, in rounds: rows of 32 slots fill disks, so two
-        bands go at a time."""
-        if self.value == "minhash":
-            keys = [F.xxhash64(F.slice("v", 4 * i + 1, F.lit(4))) for i in range(8)]
+        of them go at a time."""
+        if self.bands:
+            keys = [F.xxhash64(*[F.slice("v", 4 * i + 1, F.lit(4)) for i in own]) for own in self.bands]
         else:
             keys = [F.col("v").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in self.masks]
         named = [F.struct(F.lit(i).alias("key"), k.alias("bits")) for i, k in enumerate(keys)]
-        size = 2 if self.value == "minhash" else len(named)
+        size = 2 if self.bands else len(named)
         return [named[i : i + size] for i in range(0, len(named), size)]
 
-    def judge(self, a: np.ndarray, b: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(what counts, similarity or distance) of pairs that share `key`."""
-        if self.value == "minhash":
-            same = a == b
-            share = same.mean(axis=1)
-            first = same.reshape(len(a), 8, 4).all(axis=2).argmax(axis=1)
-            return (share >= self.least) & (first == key), share
-        differs = a ^ b
-        first = np.stack([differs & np.uint64(m) == 0 for m in self.masks], axis=1).argmax(axis=1)
-        distance = np.bitwise_count(differs)
-        return (distance <= self.least) & (first == key), distance.astype(np.float64)
+    def judge(self, values: np.ndarray, i: np.ndarray, j: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the pairs i, j count at `key`, their similarity or distance)."""
+        if self.bands:
+            same = values[i] == values[j]
+            n = same.sum(axis=1, dtype=np.int16)
+            good = np.flatnonzero(n >= self.least * values.shape[1] - 1e-9)
+            equal = same[good].reshape(len(good), 8, 4).all(axis=2)
+            shared, value = [equal[:, own].all(axis=1) for own in self.bands], n[good] / values.shape[1]
+        else:
+            differs = values[i] ^ values[j]
+            n = np.bitwise_count(differs)
+            good = np.flatnonzero(n <= self.least)
+            shared, value = [differs[good] & np.uint64(m) == 0 for m in self.masks], n[good].astype(np.float64)
+        first = np.stack(shared, axis=1).argmax(axis=1) == key[good]
+        return good[first], value[first]
 
 
 TILE = 2048  # signatures of one key on each side of a comparison
