@@ -230,8 +230,8 @@ def _compared(classes: DataFrame, by: Likeness, links: bool, keys: list[F.Column
                 here = left[~crossing[left] | (part[left] != part[left + d])]
                 for a in range(0, len(here), 1 << 15):
                     i = here[a : a + (1 << 15)]
-                    good, value = by.judge(values[i], values[i + d], key[i])
-                    found.append((i[good], i[good] + d, value[good]))
+                    good, value = by.judge(values, i, i + d, key[i])
+                    found.append((i[good], i[good] + d, value))
             if not found:
                 continue
             i, j, value = (np.concatenate(x) for x in zip(*found, strict=True))
