@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..sources.shared import Stage
+from ..sources.shared import Stage, release
 from . import prepare
 
 
@@ -61,6 +61,25 @@ def _bodies(files: DataFrame, *more: str) -> DataFrame:
     return files.select("file_id", "repo_id", *more, prepare.lossy(F.col("content")).alias("body"))
 
 
+def _packed(files: DataFrame, *more: str) -> DataFrame:
+    """Bodies compressed, for a shuffle: `size` is the length of a body."""
+    rows = _bodies(files, *more)
+    kept = [c for c in rows.columns if c != "body"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = prepare.bytes_of(batch.column("body"))
+            packed = [pa.array([len(t) for t in texts], pa.int32()), pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *packed], [*kept, "size", "body"])
+
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "body"]
+    return rows.mapInArrow(run, ", ".join([*fields, "size int", "body binary"]))
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
+    return [pa.decompress(b, n, "zstd", asbytes=True) for b, n in zip(batch.column("body").to_pylist(), batch.column("size").to_pylist(), strict=True)]
+
+
 def fingerprints(files: DataFrame, kind: str, params: SpanParams) -> DataFrame:
     """(hash, repo_id, file_id, pos) with the hash's 64 bits as a long."""
 
@@ -158,13 +177,13 @@ def surroundings(files: DataFrame, kept: DataFrame, kind: str, params: SpanParam
     schema = "hash long, file_id long, repo_id int, pos int, before long, behind long, left_ binary, right_ binary, edges int"
     k, w, width = params.k, params.w, CODES[kind].itemsize
     places = kept.groupBy("file_id").agg(F.collect_list(F.struct("pos", "cut")).alias("places"))
-    rows = _bodies(files).join(places, "file_id")
+    rows = _packed(files).join(places, "file_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in schema.split(", ")]
         for whole in batches:
-            for batch in prepare.slabs(whole, "body"):
-                read = prepare.READERS[kind](prepare.bytes_of(batch.column("body")))
+            for batch in prepare.slabs(whole, "body", 1 << 20):
+                read = prepare.READERS[kind](_unpacked(batch))
                 out: list[list] = [[] for _ in names]
                 for file, repo, where, symbols in zip(batch.column("file_id").to_pylist(), batch.column("repo_id").to_pylist(), batch.column("places"), read, strict=True):
                     at = where.values.field("pos").to_numpy().astype(np.int64)
@@ -395,6 +414,7 @@ def occurrences(files: DataFrame, kind: str, params: SpanParams) -> DataFrame:
     open_ = met.where("fb IS NOT NULL")
     if not open_.isEmpty():
         places = places.unionByName(extended(files, open_, kind, params))
+    release(files.sparkSession)
     return places
 
 
@@ -407,12 +427,12 @@ def digested(files: DataFrame, places: DataFrame, kind: str, params: SpanParams,
     them once."""
     schema = FOUND + ", sample binary" * sample
     own = places.groupBy("file_id").agg(F.collect_set(F.struct("start", "len")).alias("places"))
-    rows = _bodies(files, "path").join(own, "file_id")
+    rows = _packed(files, "path").join(own, "file_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in prepare.slabs(whole, "body"):
-                read = prepare.READERS[kind](prepare.bytes_of(batch.column("body")))
+            for batch in prepare.slabs(whole, "body", 1 << 20):
+                read = prepare.READERS[kind](_unpacked(batch))
                 hashed: dict[bytes, int] = {}
                 todo, out = [], []
                 for file, repo, path, where, s in zip(*(batch.column(c).to_pylist() for c in ("file_id", "repo_id", "path")), batch.column("places"), read, strict=True):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -39,6 +40,13 @@ def _delete_quietly(jvm, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files of plans that nobody holds any more: it does so
+    when they are collected, which a driver with memory to spare puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 class Stage:
     """Tables written to the shared folder in one job each: they cut lineage, survive
     lost executors, and can be dropped as soon as nothing reads them.  What a lazy
@@ -53,14 +61,11 @@ class Stage:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Write once and return a reader of the written table.  Shuffle files of the
-        job are no longer needed then; a collection lets Spark remove them."""
+        """Write once and return a reader of the written table."""
+        release(self.spark)
         path = self.path(name)
         df.write.mode("overwrite").option("compression", codec).parquet(path)
-        schema = df.schema
-        del df
-        self.spark.sparkContext._jvm.java.lang.System.gc()
-        return self.spark.read.schema(schema).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Delete tables of this stage; a missing one is no error."""
