@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,9 +43,20 @@ def _delete_quietly(jvm, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark remove shuffle files of plans that nobody holds any more: it does so
-    when they are collected, which a driver with memory to spare puts off."""
+    when they are collected, which a driver with memory to spare puts off.  The JVM
+    hears of dropped references up to a second later, so it is asked after that,
+    while the next job runs."""
     gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
+    later = threading.Timer(1.5, _collect, [spark.sparkContext._jvm])
+    later.daemon = True
+    later.start()
+
+
+def _collect(jvm) -> None:
+    try:
+        jvm.java.lang.System.gc()
+    except Exception:  # the session has ended meanwhile
+        pass
 
 
 class Stage:
