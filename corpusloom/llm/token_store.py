@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Stage, slices, table
+from .common import Stage, slices, small_batches, table
 
 DIGEST = 16
 LEAST, MOST, MASK = 64, 1024, 0xFF
@@ -163,7 +163,8 @@ class TokenStore:
         first = Window.partitionBy("kind", "key", "tie").orderBy("n")
         # lag, not a rank: tasks have dropped their own repeats, so no limit before the shuffle
         rows = rows.withColumn("before", F.lag("kind").over(first)).where("before IS NULL").drop("before")
-        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/entries")
+        with small_batches(spark):
+            rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/entries")
 
         recipes = self.read("entries").where("kind = 1").select("doc_id", F.col("n").alias("n_tokens"), F.col("key").alias("root"), F.col("data").alias("digests"))
         recipes.repartitionByRange("doc_id", "root", F.rand(7)).sortWithinPartitions("doc_id", "root").select(

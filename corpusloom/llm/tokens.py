@@ -13,6 +13,7 @@ import json
 import os
 import re
 import zlib
+from itertools import islice
 
 import numpy as np
 
@@ -26,7 +27,7 @@ _LOADED: dict[str, Encoder] = {}
 class Encoder:
     """encode(texts) -> for each text its ids as little-endian u32 bytes."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -89,9 +90,8 @@ class Encoder:
         take = known.__getitem__
         for i, words in parts:
             out[i] = b"".join(map(take, words))
-        if len(known) > self.most:  # what came first stays: it is the most frequent
-            for w in fresh:
-                del known[w]
+        for w in islice(fresh, max(0, len(known) - self.most)):  # what came first stays: it is the most frequent
+            del known[w]
         for i, ids in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
             out[i] = ids
         return out
