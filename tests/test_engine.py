@@ -10,7 +10,15 @@ from corpusloom.options import InvalidOption, ScanOptions
 from corpusloom.plans import report, sinks
 from corpusloom.sources import tree
 
-SNIPPET = "".join(map(chr, [*range(97, 123), *range(65, 91), *range(48, 58)]))
+SNIPPET = "Seven_grey_herons_crossed_the_weir_at_0540_and_nobody_counted_them"
+
+
+def fnv(values, width=4):
+    h = 0xCBF29CE484222325
+    for v in values:
+        for b in int(v).to_bytes(width, "little"):
+            h = (h ^ b) * 0x100000001B3 % 2**64
+    return f"{h:016x}"
 
 
 def corpus(spark, *rows):
@@ -40,11 +48,11 @@ def test_empty_files_are_a_group(spark):
     assert (g.hash, g.normalized_len) == ("cbf29ce484222325", 0)
 
 
-def test_code_span_of_62(spark):
-    rows = [(0, "A", f"////\nP`{SNIPPET}`Q\n"), (1, "B", f"####\nR`{SNIPPET}`S\n")]
+def test_code_span_with_its_place(spark):
+    rows = [(0, "A", f"first, then:\n({SNIPPET}) ends\n"), (1, "B", f"another\n\n[{SNIPPET}]; stops\n")]
     (g,) = spans_of(spark, rows, spans.SpanParams.exact(50))
-    assert (g.hash, g.normalized_len, g.n_members) == ("892e44df3ab58234", 62, 2)
-    assert [(o.start_line, o.end_line) for o in g.occurrences] == [(2, 2), (2, 2)]
+    assert (g.hash, g.normalized_len, g.n_members) == (fnv(SNIPPET.encode()), len(SNIPPET), 2)
+    assert [(o.start_line, o.end_line) for o in g.occurrences] == [(2, 2), (3, 3)]
 
 
 def test_overlapping_repeats_of_one_file_are_dropped(spark):
@@ -70,18 +78,20 @@ def test_line_spans_need_nine_lines(spark):
 
 
 def test_renamed_function_is_found_five_times(spark):
-    c = corpus(spark, (0, "a.js", "////\nfunction f(x) { return x + 1; }\n"), (1, "b.js", "####\nfunction g(y) { return y + 1; }\n"))
+    c = corpus(spark, (0, "a.rs", "one --\nfn twice(n) { return n * 2 + n; }\n"), (1, "b.rs", "two ++\nfn other(k) { return k * 2 + k; }\n"))
     r = report.generate(c, ScanOptions(cross_repo_only=True, min_match_len=5, min_token_len=5, similarity_threshold=0.9))
+    p = lambda x: 10_000 + ord(x)
+    inner = [109, 1, p("*"), 2, p("+"), 1, p(";")]
     token = r.token_span_duplicates.first()
-    assert (token.hash, token.normalized_len) == ("a48e1b88ea44219b", 12)
+    assert (token.hash, token.normalized_len) == (fnv([114, 1, p("("), 1, p(")"), p("{"), *inner, p("}")]), 14)
     block = r.block_duplicates.first()
-    assert (block.hash, block.normalized_len) == ("37496f49193adf7b", 5)
+    assert (block.hash, block.normalized_len) == (fnv(inner), 7)
     assert r.ast_subtree_duplicates.count() == 1
     m, s = r.similar_blocks_minhash.first(), r.similar_blocks_simhash.first()
     assert (m.score, m.distance, s.score, s.distance) == (1.0, None, 1.0, 0)
-    assert (m.a.path, m.b.path, m.a.start_line) == ("a.js", "b.js", 2)
+    assert (m.a.path, m.b.path, m.a.start_line) == ("a.rs", "b.rs", 2)
     assert r.line_span_duplicates.count() == 0
-    assert {g.preview: g.hash for g in r.code_span_duplicates.collect()} == {"function": "5f09c77ec2d74457", "return": "a19d41c251a38d8f"}
+    assert {g.preview: g.hash for g in r.code_span_duplicates.collect()} == {"return": fnv(b"return")}
 
 
 def test_similar_blocks_against_all_pairs(spark, sf_dir):
@@ -119,7 +129,7 @@ def test_budgets(spark):
 
 
 def test_counters(spark):
-    c = corpus(spark, (0, "a", "same"), (0, "b", "hello\0world"), (0, "c", "x" * 100), (0, "d", "same"))
+    c = corpus(spark, (0, "a", "same"), (0, "b", "nul \0 inside"), (0, "c", "x" * 100), (0, "d", "same"))
     kept, stats = report.scanned(c, ScanOptions(max_file_size=50, max_files=3))
     row = stats.first()
     assert (row.candidate_files, row.scanned_files, row.skipped_binary, row.skipped_too_large, row.skipped_budget_max_files) == (4, 3, 1, 1, 1)

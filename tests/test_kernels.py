@@ -17,15 +17,55 @@ def test_vectors():
     assert hexed(K.fnv_many([abc], 4)[0]) == "4444a5a82eb653f5"
     assert hexed(K.splitmix(np.zeros(1, np.uint64))[0]) == "e220a8397b1dcdaf"
     assert [hexed(K.seeds(32)[i]) for i in (0, 1, 31)] == ["161922c645ce50e8", "e75a816c550d9d2e", "e2c67153ea52ed1b"]
-    t, _ = K.tokens_of(b"function f(x) { return x + 1; }")
-    assert t.tolist() == [115, 1, 10040, 1, 10041, 10123, 109, 1, 10043, 2, 10059, 10125]
-    assert hexed(K.fnv_many([t], 4)[0]) == "a48e1b88ea44219b"
+    t, _ = K.tokens_of(b"fn twice(n) { return n * 2 + n; }")
+    assert t.tolist() == [114, 1, 10040, 1, 10041, 10123, 109, 1, 10042, 2, 10043, 1, 10059, 10125]
     (block,) = K.blocks_of(t)
     inner = t[block[0] + 1 : block[1]]
-    assert hexed(K.fnv_many([inner], 4)[0]) == "37496f49193adf7b"
-    assert hexed(K.subtree_signatures([(t, [block])])[0][0][1]) == "2992668c5dd08e25"
-    assert hexed(K.simhash(inner)) == "244e879b77c45841"
-    assert K.minhash(inner, K.seeds(32))[:4].tolist() == [2657439938, 2968252255, 18976037, 1081314953]
+    mask, poly = (1 << 64) - 1, 0
+    for x in inner.tolist():
+        poly = (poly * 911382323 + x + 1) & mask
+    assert K.subtree_signatures([(t, [block])])[0][0] == (int(K.fnv_many([inner], 4)[0]), poly, len(inner))
+
+    def fnv(values):
+        h = 0xCBF29CE484222325
+        for v in values:
+            for b in int(v).to_bytes(4, "little"):
+                h = (h ^ b) * 0x100000001B3 & mask
+        return h
+
+    def mixed(x):
+        x = (x + 0x9E3779B97F4A7C15) & mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    shingles = [fnv(inner[i : i + 5]) for i in range(len(inner) - 4)]
+    assert [int(x) for x in K.shingle_bases(inner)] == shingles
+    assert K.minhash(inner, K.seeds(32)).tolist() == [min(mixed(x ^ int(s)) & 0xFFFFFFFF for x in shingles) for s in K.seeds(32)]
+    assert K.simhash(inner) == sum((2 * sum(mixed(x) >> b & 1 for x in shingles) > len(shingles)) << b for b in range(64))
+
+
+def test_hash_of_wide_and_many_rows():
+    rng = np.random.default_rng(4)
+    rows = [rng.integers(0, 1 << rng.choice([7, 14, 31]), rng.integers(0, 40)).astype(np.uint32) for _ in range(120)]
+    for width in (4, 8):
+        want = []
+        for r in rows:
+            h = 0xCBF29CE484222325
+            for v in r.tolist():
+                for b in v.to_bytes(width, "little"):
+                    h = (h ^ b) * 0x100000001B3 % 2**64
+            want.append(h)
+        assert K.fnv_many(rows, width).tolist() == want
+
+
+def test_texts_read_at_once_and_alone():
+    rng = random.Random(8)
+    parts = ["a", "if", "x9", "1", ".", "1.2", "\n", " ", '"', "'", "#", "//", "/*", "*/", "\\", "\\\n", "é", "{", "}", "protected", "protectes", "\t", "12ab", "a.1"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))).encode() for _ in range(400)]
+    for text, (t, n) in zip(texts, K.tokens_many(texts), strict=True):
+        alone = K.tokens_of(text)
+        assert t.tolist() == alone[0].tolist() and n.tolist() == alone[1].tolist()
 
 
 def test_token_rules():
