@@ -6,7 +6,9 @@ then of the files within a range, so no task gets more than a range.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = ["repo_id", "path"]
@@ -33,21 +35,43 @@ def until_over(files: DataFrame, value: str, most: int) -> DataFrame:
     return running(files, value, "__total").where(F.col("__total") <= most).drop("__total")
 
 
-def greedy_bytes(files: DataFrame, size: str, most: int, rounds: int = 1000) -> DataFrame:
-    """Files that fit one after the other: one that doesn't fit is skipped and costs
+def place(row) -> Column:
+    """A row's place in the order, to be compared with struct(*ORDER)."""
+    return F.struct(F.lit(row.repo_id).cast("int").alias("repo_id"), F.lit(row.path).alias("path"))
+
+
+def first_over(files: DataFrame, value: str, most: int):
+    """The first file that takes the running sum over `most`: a row with ORDER's
+    columns, or None."""
+    return running(files, value, "__total").where(F.col("__total") > most).agg(F.min(F.struct(*ORDER)).alias("o")).first().o
+
+
+def _any(conditions: list[Column]) -> Column:
+    """Their disjunction, as a tree that isn't deep."""
+    while len(conditions) > 1:
+        conditions = [reduce(Column.__or__, conditions[i : i + 2]) for i in range(0, len(conditions), 2)]
+    return conditions[0]
+
+
+def greedy_condition(files: DataFrame, size: str, most: int) -> Column:
+    """Which files fit one after the other: one that doesn't fit is skipped and costs
     nothing.  A round takes, of the files behind the last skipped one that are no
     larger than what is left, those before the first that goes over; that one is
     larger than what is left then.  Only that file's place and a sum leave a round,
-    so the result is a filter on the files themselves."""
-    here, left, taken = F.struct(*ORDER), most, F.lit(False)
-    behind = F.lit(True)
-    for _ in range(rounds):
+    so the result is a filter on the files themselves.  `files` is read once a round:
+    give a written table of names and sizes."""
+    here, left, behind, taken = F.struct(*ORDER), most, F.lit(True), []
+    while True:
         fits = behind & (F.col(size) <= left)
+        over = F.col("__total") > left
         summed = running(files.where(fits), size, "__total")
-        over = summed.where(F.col("__total") > left).agg(F.min(F.struct(*ORDER)).alias("o")).first().o
-        if over is None:
-            return files.where(taken | fits)
-        stop = F.struct(F.lit(over.repo_id).cast("int").alias("repo_id"), F.lit(over.path).alias("path"))
-        used = summed.where(F.col("__total") <= left).agg(F.max("__total")).first()[0] or 0
-        taken, left, behind = taken | (fits & (here < stop)), left - used, here > stop
-    raise RuntimeError("too many rounds")
+        row = summed.agg(F.min(F.when(over, F.struct(*ORDER))).alias("o"), F.max(F.when(~over, F.col("__total"))).alias("used")).first()
+        if row.o is None:
+            return _any([*taken, fits])
+        stop = place(row.o)
+        taken.append(fits & (here < stop))
+        left, behind = left - (row.used or 0), here > stop
+
+
+def greedy_bytes(files: DataFrame, size: str, most: int) -> DataFrame:
+    return files.where(greedy_condition(files, size, most))

@@ -173,6 +173,18 @@ def token_symbols(files: DataFrame) -> DataFrame:
     return files.select("file_id", "repo_id", lossy(F.col("content")).alias("body")).mapInArrow(run, SYMBOLS)
 
 
+def token_numbers(corpus: DataFrame) -> DataFrame:
+    """(repo_id, path, n_tokens) of each file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slabs(whole, "body"):
+                n = [len(t) for t, _ in kernels.tokens_many(bytes_of(batch.column("body")))]
+                yield pa.RecordBatch.from_arrays([batch.column("repo_id"), batch.column("path"), pa.array(n, pa.int64())], ["repo_id", "path", "n_tokens"])
+
+    return corpus.select("repo_id", "path", lossy(F.col("content")).alias("body")).mapInArrow(run, "repo_id int, path string, n_tokens long")
+
+
 def token_counts(symbols: DataFrame) -> DataFrame:
     """(token, n) over all files; a task sends one row for each token it has seen."""
 

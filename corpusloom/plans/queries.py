@@ -9,6 +9,7 @@ from ..functions import text
 from ..operators import blocks, budgets, files, prepare, spans
 from ..options import ScanOptions
 from ..sources import tables
+from ..sources.shared import Stage
 from .registry import register
 
 OPTIONS = ScanOptions()
@@ -311,7 +312,20 @@ f(i, total, taken) AS (
 SELECT repo_id, path, size, n_chars FROM o JOIN f USING (i) WHERE taken""",
 )
 def budget_bytes_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return budgets.greedy_bytes(_sizes(spark, sf_dir), "size", 1_000_000)
+    return budgets.greedy_bytes(Stage(spark, "sizes").write(_sizes(spark, sf_dir), "sizes"), "size", 1_000_000)
+
+
+@register(
+    "budget_tokens",
+    f"""WITH {CODE_SQL}, n AS (SELECT repo_id, path, len(regexp_extract_all(body, '[A-Za-z_][A-Za-z0-9_]*|[0-9][0-9.]*|[^ \\t\\n\\f\\r]')) AS words,
+  strlen(regexp_replace(body, '[^\\x80-\\x{{10FFFF}}]', '', 'g')) - length(regexp_replace(body, '[^\\x80-\\x{{10FFFF}}]', '', 'g')) AS more FROM code)
+SELECT repo_id, path, n_tokens FROM (SELECT repo_id, path, words + more AS n_tokens, sum(words + more) OVER (ORDER BY repo_id, path ROWS UNBOUNDED PRECEDING) AS total FROM n) WHERE total <= 500000""",
+)
+def budget_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of brace code before the first that takes the tokens over their budget.
+    In the SQL a character beyond ASCII has a token for each of its bytes."""
+    sizes = prepare.token_numbers(tables.as_code(tables.documents(spark, sf_dir)))
+    return budgets.until_over(Stage(spark, "tokens").write(sizes, "sizes"), "n_tokens", 500_000)
 
 
 @register(

@@ -6,10 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text
 from ..operators import blocks, budgets, files, prepare, spans
 from ..options import ScanOptions
+from ..sources.shared import Stage
 
 COUNTERS = (
     "candidate_files scanned_files scanned_bytes git_fast_path_fallbacks skipped_not_found skipped_permission_denied skipped_too_large skipped_binary "
@@ -22,53 +24,69 @@ SECTIONS = (
 ).split()
 
 
+_PLACE = "struct<repo_id:int,repo_label:string,path:string,start_line:int,end_line:int>"
+_GROUP = f"hash string, normalized_len long, n_members long, n_repos long, occurrences array<{_PLACE}>, preview string"
+_PAIR = f"a {_PLACE}, b {_PLACE}, score double, distance int"
+SCHEMAS = dict(
+    zip(SECTIONS, ["hash string, normalized_len long, files array<struct<repo_id:int,repo_label:string,path:string>>, n_members int", *[_GROUP] * 5, _PAIR, _PAIR], strict=True)
+)
+
+
 def _has_nul() -> F.Column:
     return F.contains(F.col("content"), F.lit(bytearray(b"\x00")))
 
 
 def scanned(corpus: DataFrame, options: ScanOptions, report: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(files that detectors read, counters).  Budgets go by (repo_id, path): file
-    count, then greedy bytes, then characters and tokens, of text files."""
-    size = F.octet_length("content").cast("long")
-    rows = corpus.withColumn("size", size)
-    counts: dict[str, DataFrame | int] = {}
-    limit = options.max_file_size
-    fit = rows if limit is None else rows.where(F.col("size") <= limit)
+    """(files that detectors read, counters).  A scan goes by (repo_id, path) and
+    stops for good behind the file that is the last of max_files, or at the text file
+    that takes characters or tokens over their budget; a file too large for what is
+    left of the bytes is only skipped.  Files behind the stop aren't even candidates.
+    Names and sizes are written once; budgets are worked out on them."""
+    here, size = F.struct(*budgets.ORDER), F.octet_length("content").cast("long")
+    limit = F.lit(True) if options.max_file_size is None else F.col("size") <= options.max_file_size
+    columns = {"size": size, "binary": _has_nul()}
+    if options.max_normalized_chars is not None:
+        columns["n_chars"] = F.length(text.code_chars(prepare.lossy(F.col("content")))).cast("long")
+    meta = corpus.select("repo_id", "path", *[c.alias(n) for n, c in columns.items()])
+    if report and options.max_tokens is not None:
+        meta = meta.join(prepare.token_numbers(corpus), ["repo_id", "path"])
+    meta = Stage(corpus.sparkSession, "scan").write(meta, "files")
+
+    allowed = limit
     if options.max_total_bytes is not None:
-        allowed = budgets.greedy_bytes(fit, "size", options.max_total_bytes)
-        counts["skipped_budget_max_total_bytes"] = fit.agg(F.count(F.lit(1)).alias("n")).first().n - allowed.count()
-        fit = allowed
-    if options.max_files is not None:
-        first = budgets.first_files(fit, options.max_files)
-        counts["skipped_budget_max_files"] = int(fit.limit(options.max_files + 1).count() >= options.max_files)
-        fit = first
-    scanned_ = fit.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
-    kept = fit.where(~_has_nul())
-    body = prepare.lossy(F.col("content"))
+        allowed = limit & budgets.greedy_condition(meta.where(limit), "size", options.max_total_bytes)
+    readable = allowed & ~F.col("binary")
+    # the places where a scan can stop; of one file, the first in this order counts
+    stops = []
     if options.max_normalized_chars is not None:
-        chars = kept.withColumn("n_chars", F.length(text.code_chars(body)).cast("long"))
-        gated = chars if report else chars.where(F.col("n_chars") >= options.min_match_len)
-        within = budgets.until_over(gated, "n_chars", options.max_normalized_chars)
-        counts["skipped_budget_max_normalized_chars"] = int(within.count() < gated.count())
-        kept = within.drop("n_chars")
+        counted = readable if report else readable & (F.col("n_chars") >= options.min_match_len)
+        stops.append((budgets.first_over(meta.where(counted), "n_chars", options.max_normalized_chars), "skipped_budget_max_normalized_chars"))
     if report and options.max_tokens is not None:
-        sized = prepare.token_symbols(prepare.numbered(kept)).select("file_id", (F.octet_length("symbols") / 4).cast("long").alias("n_tokens"))
-        known = prepare.numbered(kept).join(sized, "file_id")
-        within = budgets.until_over(known, "n_tokens", options.max_tokens)
-        counts["skipped_budget_max_tokens"] = int(within.count() < known.count())
-        kept = within.select(*kept.columns)
-    stats = rows.agg(
+        before = readable & (here < budgets.place(stops[0][0])) if stops and stops[0][0] else readable
+        stops.append((budgets.first_over(meta.where(before), "n_tokens", options.max_tokens), "skipped_budget_max_tokens"))
+    if options.max_files:
+        found = budgets.first_files(meta.where(allowed), options.max_files).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*budgets.ORDER)).alias("o")).first()
+        stops.append((found.o if found.n == options.max_files else None, "skipped_budget_max_files"))
+    stop, why = min(((o, w) for o, w in stops if o is not None), key=lambda x: (x[0].repo_id, x[0].path.encode()), default=(None, None))
+    seen, read = F.lit(True), readable
+    if options.max_files == 0:
+        seen, read, why = F.lit(False), F.lit(False), "skipped_budget_max_files"
+    elif stop is not None:
+        seen = here <= budgets.place(stop)
+        read = readable & (seen if why == "skipped_budget_max_files" else here < budgets.place(stop))
+    stats = meta.where(seen).agg(
         F.count(F.lit(1)).alias("candidate_files"),
-        F.lit(scanned_.n).cast("long").alias("scanned_files"),
-        F.lit(scanned_.b).cast("long").alias("scanned_bytes"),
-        F.lit(0).cast("long").alias("skipped_too_large") if limit is None else F.count_if(F.col("size") > limit).alias("skipped_too_large"),
+        F.count_if(allowed).alias("scanned_files"),
+        F.coalesce(F.sum(F.when(allowed, F.col("size"))), F.lit(0)).cast("long").alias("scanned_bytes"),
+        F.count_if(~limit).alias("skipped_too_large"),
+        F.count_if(allowed & F.col("binary")).alias("skipped_binary"),
+        F.count_if(limit & ~allowed).alias("skipped_budget_max_total_bytes"),
     )
-    binary = fit.where(_has_nul()).agg(F.count(F.lit(1)).alias("skipped_binary"))
-    stats = stats.crossJoin(F.broadcast(binary))  # one row by one row
     for c in COUNTERS:
         if c not in stats.columns:
-            stats = stats.withColumn(c, F.lit(counts.get(c, 0)).cast("long"))
-    return kept.drop("size"), stats.select(*COUNTERS)
+            stats = stats.withColumn(c, F.lit(int(c == why)).cast("long"))
+    kept = corpus.withColumns({"size": size, "binary": _has_nul()}).where(read)
+    return kept.drop("size", "binary"), stats.select(*COUNTERS)
 
 
 def scan_stats(corpus: DataFrame, options: ScanOptions) -> DataFrame:
@@ -125,9 +143,8 @@ def generate(corpus: DataFrame, options: ScanOptions) -> Report:
     options = options.for_report()
     if not options.max_report_items:
         spark = corpus.sparkSession
-        nothing = spark.range(0).drop("id")
         zero = spark.range(1).select(*[F.lit(0).cast("long").alias(c) for c in COUNTERS])
-        return Report(dict.fromkeys(SECTIONS, nothing), zero)
+        return Report({s: spark.createDataFrame([], SCHEMAS[s]) for s in SECTIONS}, zero)
     kept, stats = scanned(corpus, options, report=True)
     docs = prepare.numbered(kept)
     cross, most, cap = options.cross_repo_only, options.max_report_items, options.max_bucket
@@ -162,4 +179,4 @@ def generate(corpus: DataFrame, options: ScanOptions) -> Report:
         cut = [spans.truncated(spans.fingerprints(docs, s, p), cap).agg(F.coalesce(F.sum("dropped"), F.lit(0)).alias("n")) for s, p in by_kind.values()]
         total = cut[0].unionByName(cut[1]).unionByName(cut[2]).agg(F.sum("n").cast("long").alias("__cut"))
         stats = stats.crossJoin(F.broadcast(total)).withColumn("skipped_bucket_truncated", F.col("__cut")).drop("__cut")  # one row by one row
-    return Report({s: sections[s] for s in SECTIONS}, stats)
+    return Report({s: sections[s].select(*StructType.fromDDL(SCHEMAS[s]).names) for s in SECTIONS}, stats)

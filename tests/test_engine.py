@@ -136,6 +136,33 @@ def test_counters(spark):
     assert kept.count() == 2 and report.fatal(stats)
 
 
+def test_a_scan_stops_for_good(spark):
+    c = corpus(spark, *[(0, f"f{i}", "abc") for i in range(6)]).cache()
+    count = lambda **o: (lambda k, s: (k.count(), s.first().asDict()))(*report.scanned(c, ScanOptions(**o), report=True))
+    n, s = count(max_files=2)
+    assert (n, s["candidate_files"], s["scanned_files"], s["skipped_budget_max_files"]) == (2, 2, 2, 1)
+    n, s = count(max_normalized_chars=7)  # the third file is read and stops the scan
+    assert (n, s["candidate_files"], s["scanned_files"], s["skipped_budget_max_normalized_chars"]) == (2, 3, 3, 1)
+    n, s = count(max_files=1, max_total_bytes=3)
+    assert (n, s["scanned_files"], s["skipped_budget_max_total_bytes"], s["skipped_budget_max_files"]) == (1, 1, 0, 1)
+    n, s = count(max_total_bytes=7)
+    assert (n, s["candidate_files"], s["skipped_budget_max_total_bytes"]) == (2, 6, 4)
+    n, s = count(max_tokens=4)
+    assert (n, s["candidate_files"], s["skipped_budget_max_tokens"]) == (4, 5, 1)
+    n, s = count(max_files=0)
+    assert (n, s["candidate_files"], s["skipped_budget_max_files"]) == (0, 0, 1)
+    n, s = count(max_files=6)  # recorded even if nothing was left
+    assert (n, s["skipped_budget_max_files"]) == (6, 1)
+
+
+def test_empty_report_has_the_columns_of_a_full_one(spark):
+    c = corpus(spark, (0, "a", SNIPPET), (0, "b", SNIPPET))
+    full, none = report.generate(c, ScanOptions()), report.generate(c, ScanOptions(max_report_items=0))
+    for s in report.SECTIONS:
+        assert none.sections[s].count() == 0
+        assert [(f.name, f.dataType.simpleString()) for f in full.sections[s].schema] == [(f.name, f.dataType.simpleString()) for f in none.sections[s].schema]
+
+
 @pytest.mark.parametrize("bad", [{"min_match_len": 0}, {"similarity_threshold": 2.0}, {"similarity_threshold": 2.0, "max_report_items": 0}, {"simhash_max_distance": 65}, {"min_token_len": 0}])
 def test_bad_options(spark, bad):
     with pytest.raises(InvalidOption):
