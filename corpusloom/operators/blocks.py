@@ -251,7 +251,7 @@ def links(signed: DataFrame, by: Likeness) -> DataFrame:
     """Each block with its class_id, equal for blocks of equal signatures, and
     n_links, the number of other blocks that are similar to it, its copies included.
     Links are counted, not written as pairs: a crowd of copies is one class."""
-    stage = Stage(signed.sparkSession, "links")
+    stage = Stage(signed.sparkSession, "links", tidy=True)
     own = stage.write(signed.withColumn("sig", F.xxhash64(by.value)), "signed")
     classes = stage.write(_classes(own, by), "classes")
     found = [stage.write(_compared(classes, by, True, keys), f"round{i}") for i, keys in enumerate(by.rounds())]

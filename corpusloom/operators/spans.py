@@ -404,7 +404,7 @@ def extended(files: DataFrame, open_: DataFrame, kind: str, params: SpanParams)
 
 def occurrences(files: DataFrame, kind: str, params: SpanParams) -> DataFrame:
     """PLACE's columns: the places of repeated spans, some more than once."""
-    stage = Stage(files.sparkSession, f"spans-{kind}")
+    stage = Stage(files.sparkSession, f"spans-{kind}", tidy=True)
     kept = stage.write(buckets(fingerprints(files, kind, params), params.max_bucket), "kept")
     found = stage.write(seeds(surroundings(files, kept, kind, params), kind, params), "seeds")
     stage.drop("kept")
@@ -495,7 +495,7 @@ def with_samples(groups: DataFrame, files: DataFrame, kind: str, params: SpanPar
 def span_groups(files: DataFrame, kind: str, params: SpanParams, most: int | None = None) -> DataFrame:
     """(hash, normalized_len, n_members, n_repos, first, key, sample, occurrences) of
     each repeated span, or of the `most` with the most places and symbols."""
-    stage = Stage(files.sparkSession, f"groups-{kind}")
+    stage = Stage(files.sparkSession, f"groups-{kind}", tidy=True)
     places = stage.write(digested(files, occurrences(files, kind, params), kind, params), "places")
     groups = _grouped(places, params)
     if most is not None:

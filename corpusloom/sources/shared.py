@@ -64,8 +64,8 @@ class Stage:
     lost executors, and can be dropped as soon as nothing reads them.  What a lazy
     result may still read goes when the program ends."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
+        self.spark, self.tidy = spark, tidy  # tidy: release shuffle files before each job
         self.root = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
         atexit.register(_delete_quietly, spark.sparkContext._jvm, self.root)
 
@@ -74,7 +74,8 @@ class Stage:
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         """Write once and return a reader of the written table."""
-        release(self.spark)
+        if self.tidy:
+            release(self.spark)
         path = self.path(name)
         df.write.mode("overwrite").option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
