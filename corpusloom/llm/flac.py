@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import Stage, slices, table
 
 BLOCK = 1024
 RATE = 8000
@@ -332,7 +332,8 @@ def decode_streams(streams: list[bytes | None]) -> list[tuple[np.ndarray | None,
     """(samples, intact) of each stream; all frames are decoded in lockstep."""
     metas = [opened(s) if s else None for s in streams]
     good = [m is not None for m in metas]
-    out: list[np.ndarray | None] = [np.zeros(m.total, dtype=np.int32) if m else None for m in metas]
+    # a header may claim any length: no more is held than the frames found can fill
+    out: list[np.ndarray | None] = [np.zeros(min(m.total, len(m.frames) * m.block), dtype=np.int32) if m else None for m in metas]
     base = np.concatenate([[0], np.cumsum([len(s or b"") for s in streams])])
     joined = b"".join(s or b"" for s in streams)
     lanes = []  # stream, first sample, samples, bit position, depth, last byte
@@ -555,4 +556,7 @@ def pcm_blocks(media: DataFrame, samples_each: int = 4096) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return described(encoded(table(spark, sf_dir, "documents")))
+    """Streams are written to the shared folder; all columns come from what is read
+    back from there."""
+    media = Stage(spark, "flac").write(encoded(table(spark, sf_dir, "documents")), "media", "uncompressed")
+    return described(media)
