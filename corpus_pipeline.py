@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor
 kept.  All but the last return the columns of `documents`, with texts as far as they
 were rewritten and n_chars to match; the last returns the packed sequences' pieces.
+
+Defined cases.  Null and empty texts are kept by every filtering stage: they have no
+words and no lines.  A null doc_id is judged like any other row.  Rows with one doc_id
+are judged one by one, by their texts; line_dedup counts them as one document.  Other
+columns than those of `documents` are dropped.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,20 +35,22 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest doc_id stays.
+    """Of each class of near-duplicates one row stays, that with the smallest doc_id
+    (a null is the largest).  Rows are numbered once, so that doc_ids may be null or
+    repeat: of equal rows one stays, and another text under a doc_id is another row.
     Documents without words are no copies of each other."""
-    classes = jaccard_join.near_duplicates(spark, docs)
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.select(*COLUMNS)
+    stage = Stage(spark, "pipeline")
+    rows = stage.write(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    classes = jaccard_join.near_duplicates(spark, rows, doc_id="row").where("n_links > 0").select(F.col("doc_id").alias("row"), "class_id")
+    named = stage.write(classes.join(rows.select("row", "doc_id"), "row"), "classes")
+    first = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    gone = named.join(first, "class_id").where("row <> first.row").select("row")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    # scanned once: the join below would read the documents for it again at each retry
-    leaks = Stage(spark, "pipeline").write(found.select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows that hold a benchmark item go, whatever their doc_id."""
+    return decontamination.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

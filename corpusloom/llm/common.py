@@ -1,61 +1,19 @@
-"""What the training-data operators share: tables, shared storage, batching."""
+"""What the training-data operators share: tables, written stages, batching."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
-
+from ..sources.shared import Stage as Stage
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the
-    session; only where that is unset (tests on one machine) a folder of our own."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        folder = tempfile.mkdtemp(prefix="corpusloom-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _OWN[app] = f"file://{folder}"
-    return _OWN[app]
-
-
-class Stage:
-    """Tables written to the shared folder in one job: they cut lineage, survive
-    lost executors, and can be dropped as soon as nothing reads them."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Write once and return a reader of the written table."""
-        path = self.path(name)
-        df.write.mode("overwrite").option("compression", codec).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Delete a table of this stage; a missing one is no error."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
     """Fewer rows in an Arrow batch while a job is started and run: each worker and

@@ -207,5 +207,36 @@ def contaminated(
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], HIT)
 
 
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    threshold: float = 0.6,
+    question: float = 0.6,
+    answer: float = 0.5,
+    shard_items: int = 4096,
+    shard_words: int = 200_000,
+    text: str = "text",
+) -> DataFrame:
+    """The rows of `docs`, all columns as they are, that hold no test item.  A row is
+    judged by its own text where it lies: ids may be null or repeat."""
+
+    def scan(shard: Shard):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, text):
+                words = [words_of(x) for x in batch.column(text).to_pylist()]
+                good = [True] * batch.num_rows
+                for d, c, i, _ in shard.candidates(words, threshold):
+                    if good[d]:
+                        q, a = shard.overlaps(i, words[d][c * shard.stride : (c + 2) * shard.stride])
+                        good[d] = q < question or a < answer
+                yield batch.filter(pa.array(good))
+
+        return run
+
+    for shard in shards_of(benchmark, "item_id", "text", shard_items, shard_words):
+        docs = docs.mapInArrow(scan(shard), docs.schema)
+    return docs
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -45,3 +45,15 @@ def test_odd_documents_pass_through(spark, odd_docs, no_docs, sf_dir):
         for name, step in P.STAGES:
             docs = stage.write(step(spark, docs, sf_dir), name)
         assert docs.select("doc_id", "start", "length").count() >= want
+
+
+def test_rows_without_an_id_and_with_one_id_are_judged_by_their_texts(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    copy = " ".join(f"word{i} of a long passage" for i in range(40))
+    other = " ".join(f"thing{i} in an unrelated text" for i in range(40))
+    rows = [(1, copy), (1, copy), (2, other), (2, copy), (None, copy), (None, item), (3, item), (3, other + " more"), (4, None), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en", "src0", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = lambda d: sorted(((r.doc_id, r.text) for r in d.collect()), key=repr)
+    assert found(P.drop_leaks(spark, docs, sf_dir)) == sorted(((d, t) for d, t in rows if t != item), key=repr)
+    once = [(1, copy), (2, other), (3, item), (4, None), (None, "")]
+    assert found(P.drop_near_copies(spark, docs, sf_dir)) == sorted(once, key=repr)
