@@ -1,6 +1,7 @@
 """FLAC media columns: lossless 8-bit mono streams, encoded and decoded with NumPy.
 
-A payload's bytes are samples (byte - 128).  The encoder cuts them into blocks of
+A payload's bytes are samples through a fixed table: the commoner a byte is in text,
+the nearer its level is to zero, so that Rice codes of texts are short.  The encoder cuts them into blocks of
 1,024 and keeps for each block the cheapest of constant, verbatim, fixed predictors
 of order 0 to 2 and a quantised linear predictor of order 4, with Rice-coded
 residuals.  A seek table has one point for each frame.
@@ -37,6 +38,13 @@ BLOCK = 1024
 RATE = 8000
 LPC_ORDER, PRECISION, SHIFT = 4, 12, 9
 SLICE = 2 << 20
+# Fixed: bytes that texts are mostly made of, the commonest first; all others follow in order.
+COMMON = b" etaoinsrhldcumfpgwybvkxjqz.,\n"
+_RANKED = np.array([*COMMON, *(b for b in range(256) if b not in COMMON)], dtype=np.uint8)
+_RANK = np.argsort(_RANKED)
+LEVEL = np.where(_RANK % 2, -(_RANK + 1) // 2, _RANK // 2).astype(np.int8)  # of a byte: 0, -1, 1, -2, ..
+_BYTE = np.zeros(256, dtype=np.uint8)  # of a level, by its two's complement
+_BYTE[LEVEL.view(np.uint8)] = np.arange(256)
 
 
 def _table(poly: int, width: int) -> np.ndarray:
@@ -242,7 +250,7 @@ def encode_streams(payloads: list[bytes]) -> list[bytes]:
             groups.setdefault(min(BLOCK, len(p) - b * BLOCK), []).append((i, b))
     for n, members in groups.items():
         raw = b"".join(payloads[i][b * BLOCK : b * BLOCK + n] for i, b in members)
-        blocks = np.frombuffer(raw, np.uint8).reshape(len(members), n).astype(np.int32) - 128
+        blocks = LEVEL[np.frombuffer(raw, np.uint8)].reshape(len(members), n).astype(np.int32)
         for (i, b), frame in zip(members, encode_blocks(blocks, [b for _, b in members]), strict=True):
             frames[i][b] = frame
     out = []
@@ -251,7 +259,7 @@ def encode_streams(payloads: list[bytes]) -> list[bytes]:
         sizes = [len(x) for x in parts] or [0]
         info = struct.pack(">HH", BLOCK, BLOCK) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
         info += (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big")
-        info += hashlib.md5(np.frombuffer(p, np.uint8).__sub__(np.uint8(128)).tobytes()).digest()
+        info += hashlib.md5(LEVEL[np.frombuffer(p, np.uint8)].tobytes()).digest()
         at, points = 0, []
         for b, x in enumerate(parts):
             points.append(struct.pack(">QQH", b * BLOCK, at, min(BLOCK, len(p) - b * BLOCK)))
@@ -493,6 +501,11 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + bytes(-len(raw) % 64 if raw else 64), len(raw)
 
 
+def bytes_of(samples: np.ndarray) -> bytes:
+    """The payload that 8-bit samples stand for."""
+    return _BYTE[samples.astype(np.int8).view(np.uint8)].tobytes()
+
+
 def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each text as a FLAC stream."""
 
@@ -527,7 +540,7 @@ def described(media: DataFrame) -> DataFrame:
                 if samples is None:
                     rows.append((doc, n, None, None, None, len(m or b""), None if m is None else hashlib.sha256(m).hexdigest(), None, False))
                     continue
-                payload = (samples + 128).astype(np.uint8).tobytes()
+                payload = bytes_of(samples)
                 rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(samples), intact))
             text, long = pa.string(), pa.int64()
             types = [long, long, long, text, long, long, text, text, pa.bool_()]
