@@ -172,8 +172,10 @@ def class_counts(sample: DataFrame) -> DataFrame:
     return sample.select("toxic", "text").mapInArrow(run, "level byte, form string, ordinary long, toxic long").groupBy("level", "form").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def chained(kept: pd.DataFrame, totals: pd.DataFrame, shared: list[dict[str, int]], everything: float, discounts: tuple[float, ...]) -> tuple[list[dict[str, float]], dict[str, dict[str, float]]]:
-    """Log ratios of the forms that are kept, level by level from the shared counts."""
+def chained(kept: pd.DataFrame, pair_rows: pa.Table, totals: pd.DataFrame, shared: list[dict[str, int]], everything: float, discounts: tuple[float, ...]) -> tuple[list[dict[str, float]], dict[str, dict[str, float]]]:
+    """Log ratios of the forms that are kept, level by level from the shared counts.
+    Pairs are the most; they stay in Arrow, and their words are those of the words'
+    own table, so that each is one object in memory and one in the pickled model."""
     size = {(r.level, c): max(1.0, getattr(r, c)) for r in totals.itertuples() for c in ("ordinary", "toxic")}
     kinds = {(r.level, c): getattr(r, f"{c}_kinds") for r in totals.itertuples() for c in ("ordinary", "toxic")}
     everything = max(1.0, everything)
@@ -203,17 +205,19 @@ def chained(kept: pd.DataFrame, totals: pd.DataFrame, shared: list[dict[str, int
                 prob[c][level][form] = max(n - discounts[min(int(n), 3)], 0.0) / size[level, c] + lam[level] * parent(c, level, form)
             out[level][form] = float(np.log((prob["toxic"][level][form] + rare[level]) / (prob["ordinary"][level][form] + rare[level])))
     pairs: dict[str, dict[str, float]] = {}
-    rows, words = kept[kept.level == PAIR], kept[kept.level == WORD].set_index("form")
+    words = kept[kept.level == WORD].set_index("form")
     before = {c: words[c].to_dict() for c in ("ordinary", "toxic")}
-    for form, o, t in zip(rows.form, rows.ordinary, rows.toxic, strict=True):
-        v, w = form.split(" ")
-        if w not in prob["toxic"][WORD]:
-            continue
-        p = {}
-        for c, n in (("ordinary", o), ("toxic", t)):
-            context = max(1.0, before[c].get(v, 0))
-            p[c] = (max(n - discounts[min(int(n), 3)], 0.0) + discounts[1] * context * prob[c][WORD][w] + 1) / (context + 1)
-        pairs.setdefault(v, {})[w] = float(np.log(p["toxic"] / p["ordinary"]))
+    names = {w: w for w in prob["toxic"][WORD]}
+    for batch in pair_rows.to_batches(max_chunksize=20_000):
+        for form, o, t in zip(*(batch.column(c).to_pylist() for c in ("form", "ordinary", "toxic")), strict=True):
+            v, w = form.split(" ")
+            if w not in prob["toxic"][WORD]:
+                continue
+            p = {}
+            for c, n in (("ordinary", o), ("toxic", t)):
+                context = max(1.0, before[c].get(v, 0))
+                p[c] = (max(n - discounts[min(int(n), 3)], 0.0) + discounts[1] * context * prob[c][WORD][w] + 1) / (context + 1)
+            pairs.setdefault(names.setdefault(v, v), {})[names[w]] = float(np.log(p["toxic"] / p["ordinary"]))
     return out, pairs
 
 
@@ -258,10 +262,13 @@ def fit(
     try:
         kinds = [F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds") for c in ("ordinary", "toxic")]
         totals = counts.groupBy("level").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), *kinds).toPandas()
-        kept = counts.where("ordinary + toxic >= 2").toPandas().sort_values(["level", "form"])
+        twice = counts.where("ordinary + toxic >= 2")
+        kept = twice.where(F.col("level") != PAIR).toArrow().to_pandas().sort_values(["level", "form"])
+        pair_rows = twice.where(F.col("level") == PAIR).select("form", "ordinary", "toxic").toArrow()
     finally:
         counts.unpersist()
-    model = Model(*chained(kept, totals, *shared_counts(docs, text, asked(kept)), discounts))
+    model = Model(*chained(kept, pair_rows, totals, *shared_counts(docs, text, asked(kept)), discounts))
+    del kept, pair_rows
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
