@@ -92,12 +92,10 @@ class Model:
             for i, x in enumerate(got):
                 if x is None:
                     got[i] = memo[words[i]] = self.ratio(words[i])
-        out = np.array(got)
         if self.pairs:
-            for i, after in enumerate(map(self.pairs.get, words[:-1])):
-                if after is not None and (x := after.get(words[i + 1])) is not None:
-                    out[i + 1] = x
-        return out
+            behind = words[1:]
+            got[1:] = [r if after is None or (x := after.get(w)) is None else x for after, w, r in zip(map(self.pairs.get, words), behind, got[1:], strict=False)]
+        return np.array(got)
 
     def features(self, text: str | None) -> np.ndarray:
         words = words_of(text)
@@ -126,15 +124,19 @@ def shared_counts(docs: DataFrame, text: str, forms: list[set[str]]) -> tuple[li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Counter] = [Counter(), Counter(), Counter()]
+        (words, sixes, fours), (by_word, by_six, by_four) = forms, held
         total = 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 16 << 20, 1 << 14):
             seen: Counter = Counter()
             for x in batch.column("text").to_pylist():
                 seen.update(set(words_of(x)))
             for word, n in seen.items():
-                for level, form in ((WORD, word), (SIX, word[:6]), (FOUR, word[:4])):
-                    if form in forms[level]:
-                        held[level][form] += n
+                if word in words:
+                    by_word[word] += n
+                if (six := word[:6]) in sixes:
+                    by_six[six] += n
+                if (four := word[:4]) in fours:
+                    by_four[four] += n
             total += seen.total()
         rows = [(level, form, n) for level in (WORD, SIX, FOUR) for form, n in held[level].items()] + [(FOUR, None, total)]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int8(), pa.string(), pa.int64()), strict=True)], ["level", "form", "n"])
