@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import numpy as np
 
@@ -147,6 +148,24 @@ _WORDS = np.array(sorted(_first_eight(w.encode()) for w in KEYWORDS), dtype=np.u
 _WORD_OF = {_first_eight(w.encode()): w for w in KEYWORDS}
 _WORD_TOKEN = np.array([KEYWORD + KEYWORDS.index(_WORD_OF[int(x)]) for x in _WORDS])
 _WORD_LEN = np.array([len(_WORD_OF[int(x)]) for x in _WORDS])
+# A word's number from its first eight bytes: a multiplier under which no two collide.
+_SHIFT = np.uint64(52)
+
+
+def _spread() -> tuple[np.uint64, np.ndarray]:
+    with np.errstate(over="ignore"):
+        for m in seeds(1000) | np.uint64(1):
+            slot = (_WORDS * m) >> _SHIFT
+            if len(np.unique(slot)) == len(_WORDS):
+                table = np.zeros(1 << 12, dtype=np.uint8)
+                table[slot] = np.arange(len(_WORDS))
+                return m, table
+    raise AssertionError("no multiplier tells the keywords apart")
+
+
+_SPREAD, _SLOTS = _spread()
+# The token that begins with a byte, if that isn't in a string, a number or a keyword.
+_TOKEN = np.where(_CLASS == 1, IDENT, np.where(_CLASS == 2, NUMBER, PUNCT + np.arange(256))).astype(np.uint32)
 
 
 def _without_quotes(data: bytes, kinds: np.ndarray) -> list[int]:
@@ -189,11 +208,39 @@ def _without_quotes(data: bytes, kinds: np.ndarray) -> list[int]:
     return silent
 
 
-def tokens_many(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(token, line) arrays of each text's bytes.  Texts are read as one, with line
-    ends between them; only comments and strings are looked for one by one."""
-    if not texts:
-        return []
+def _numbers(kinds: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(digits that belong to words, bytes of numbers).  Of digits and full stops in a
+    row, digits behind a letter are the word's up to the first full stop; from the
+    first other digit on all are a number."""
+    own, number = np.zeros(len(kinds), dtype=bool), np.zeros(len(kinds), dtype=bool)
+    at = np.flatnonzero((kinds == 2) | (kinds == 3))
+    digit = kinds[at] == 2
+    first = np.concatenate([[True], at[1:] != at[:-1] + 1])
+    heads = np.flatnonzero(first)
+    row = np.cumsum(first) - 1
+    behind = (letter[np.maximum(at[heads] - 1, 0)] & (at[heads] > 0))[row]
+    stops = np.cumsum(~digit)
+    of_word = digit & behind & (stops == (stops - ~digit)[heads][row])
+    own[at[of_word]] = True
+    digit &= ~of_word
+    seen = np.cumsum(digit)
+    number[at[digit | (seen > (seen - digit)[heads][row])]] = True
+    return own, number
+
+
+class TokenPlaces(NamedTuple):
+    """Tokens of texts read as one with line ends between them: their places, the
+    places of line ends that count, and where each text and its tokens end."""
+
+    tokens: np.ndarray
+    at: np.ndarray
+    newlines: np.ndarray
+    heads: np.ndarray
+    cuts: np.ndarray
+
+
+def token_places(texts: list[bytes]) -> TokenPlaces:
+    """Only comments and strings are looked for one by one."""
     data = b"\n".join(texts) + b"\n" + bytes(9)
     size = np.array([len(t) + 1 for t in texts])
     ends = np.cumsum(size)
@@ -204,50 +251,47 @@ def tokens_many(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     for text, head in zip(texts, heads.tolist(), strict=True):
         if _OPENING.search(text):
             silent += [head + i for i in _without_quotes(text, kinds[head : head + len(text)])]
-    letter, digit = kinds == 1, kinds == 2
-    word, number = letter, digit
-    if digit.any():
-        # digits and full stops in a row: digits behind a letter are the word's up to
-        # the first full stop; from the first other digit on all are a number
-        row = digit | (kinds == 3)
-        first = row.copy()
-        first[1:] &= ~row[:-1]
-        start = np.maximum.accumulate(np.where(first, np.arange(len(raw)), 0))
-        stops = np.cumsum(kinds == 3)
-        behind = letter[np.maximum(start - 1, 0)] & (start > 0)
-        here = stops - stops[start] + (kinds[start] == 3)
-        own = digit & behind & (here == 0)
-        digit = digit & ~own
-        seen = np.cumsum(digit)
-        number = row & (digit | ((kinds == 3) & (seen - seen[start] + digit[start] > 0)))
+    letter = kinds == 1
+    word, begins = letter, kinds >= 3  # full stops, others and strings
+    if (kinds == 2).any():
+        own, number = _numbers(kinds, letter)
         word = letter | own
-    begins = np.zeros(len(raw), dtype=np.uint8)
-    edge = lambda x: np.concatenate([x[:1], x[1:] & ~x[:-1]])
-    begins[edge(word)] = IDENT
-    begins[edge(number)] = NUMBER
-    begins[kinds == _QUOTED] = STRING
-    begins[(kinds == 4) | ((kinds == 3) & ~number)] = 4
+        begins &= ~number
+        begins[1:] |= number[1:] & ~number[:-1]
+        begins[0] |= number[0]
+    over = word[1:] & ~word[:-1]
+    begins[1:] |= over
+    begins[0] |= word[0]
     at = np.flatnonzero(begins)
-    kind = begins[at]
-    token = kind.astype(np.uint32)
-    other = kind == 4
-    token[other] = raw[at[other]].astype(np.uint32) + np.uint32(PUNCT)
-    names = np.flatnonzero(kind == IDENT)
+    token = _TOKEN[raw[at]]
+    if silent or b'"' in data or b"'" in data:
+        token[kinds[at] == _QUOTED] = STRING
+    if word is not letter:
+        token[number[at]] = NUMBER
+    names = np.flatnonzero(token == IDENT)
     if len(names):
         heads_ = at[names]
-        over = np.concatenate([np.flatnonzero(~word), [len(raw)]])
-        length = over[np.searchsorted(over, heads_)] - heads_
+        length = np.flatnonzero(word[:-1] & ~word[1:]) + 1 - heads_  # the last byte is a line end
         eight = np.ndarray((len(data) - 8,), dtype="<u8", buffer=data, strides=(1,))[heads_] & _WIDE[np.minimum(length, 8)]
-        i = np.minimum(np.searchsorted(_WORDS, eight), len(_WORDS) - 1)
-        same = (_WORDS[i] == eight) & (_WORD_LEN[i] == length)
-        for j in np.flatnonzero(same & (length > 8)).tolist():
-            same[j] = data[heads_[j] : heads_[j] + length[j]].decode("latin-1") in KEYWORDS
+        i = _SLOTS[(eight * _SPREAD) >> _SHIFT]
+        same = np.flatnonzero((_WORDS[i] == eight) & (_WORD_LEN[i] == length))
+        for j in same[length[same] > 8].tolist():
+            if data[heads_[j] : heads_[j] + length[j]].decode("latin-1") not in KEYWORDS:
+                same = same[same != j]
         token[names[same]] = _WORD_TOKEN[i[same]]
     counted = raw == 0x0A
     counted[silent] = False
-    newlines = np.flatnonzero(counted)
-    line = np.searchsorted(newlines, at) + 1
-    cuts = np.searchsorted(at, ends[:-1])
+    return TokenPlaces(token, at, np.flatnonzero(counted), heads, np.searchsorted(at, ends[:-1]))
+
+
+def tokens_many(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(token, line) arrays of each text's bytes."""
+    if not texts:
+        return []
+    token, at, newlines, heads, cuts = token_places(texts)
+    # tokens between one line end and the next have one line
+    ends = np.searchsorted(at, newlines)
+    line = np.repeat(np.arange(1, len(newlines) + 2), np.diff(np.concatenate([[0], ends, [len(at)]])))
     base = np.repeat(np.searchsorted(newlines, heads), np.diff(np.concatenate([[0], cuts, [len(at)]])))
     return list(zip(np.split(token, cuts), np.split((line - base).astype(np.int32), cuts), strict=True))
 

@@ -83,7 +83,16 @@ def read_lines(texts: list[bytes]) -> list[Symbols]:
 
 
 def read_tokens(texts: list[bytes]) -> list[Symbols]:
-    return [Symbols(t, n.__getitem__) for t, n in kernels.tokens_many(texts)]
+    """Tokens; the lines only of those that are asked for."""
+    if not texts:
+        return []
+    all_, at, newlines, heads, cuts = kernels.token_places(texts)
+    before = np.searchsorted(newlines, heads).tolist()
+    return [Symbols(t, partial(_lines_at, newlines, p, n)) for t, p, n in zip(np.split(all_, cuts), np.split(at, cuts), before, strict=True)]
+
+
+def _lines_at(newlines: np.ndarray, places: np.ndarray, before: int, at: np.ndarray) -> np.ndarray:
+    return np.searchsorted(newlines, places[at]) - before + 1
 
 
 READERS: dict[str, Callable[[list[bytes]], list[Symbols]]] = {"char": read_chars, "line": read_lines, "token": read_tokens}
@@ -165,7 +174,7 @@ def token_symbols(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slabs(whole, "body"):
+            for batch in slabs(whole, "body", 1 << 20):
                 found = kernels.tokens_many(bytes_of(batch.column("body")))
                 arrays = [pa.array([t.astype("<u4").tobytes() for t, _ in found], pa.binary()), pa.array([n for _, n in found], pa.list_(pa.int32())), pa.array([None] * len(found), pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("repo_id"), *arrays], ["file_id", "repo_id", "symbols", "lines", "sizes"])
@@ -178,7 +187,7 @@ def token_numbers(corpus: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slabs(whole, "body"):
+            for batch in slabs(whole, "body", 1 << 20):
                 n = [len(t) for t, _ in kernels.tokens_many(bytes_of(batch.column("body")))]
                 yield pa.RecordBatch.from_arrays([batch.column("repo_id"), batch.column("path"), pa.array(n, pa.int64())], ["repo_id", "path", "n_tokens"])
 

@@ -4,7 +4,7 @@ import numpy as np
 
 from corpusloom.functions import kernels as K
 from corpusloom.functions import text
-from corpusloom.operators import spans
+from corpusloom.operators import prepare, spans
 
 
 def hexed(x):
@@ -68,6 +68,38 @@ def test_texts_read_at_once_and_alone():
         assert t.tolist() == alone[0].tolist() and n.tolist() == alone[1].tolist()
 
 
+def test_numbers_and_lines_beside_words():
+    """Digits, full stops and words side by side, against a reading byte by byte."""
+
+    def plain(text):
+        out, i, line = [], 0, 1
+        while i < len(text):
+            c, start = text[i], i
+            i += 1
+            if c == "\n":
+                line += 1
+            elif c.isalpha() or c == "_":
+                while i < len(text) and (text[i].isalnum() or text[i] == "_"):
+                    i += 1
+                word = text[start:i]
+                out.append((100 + K.KEYWORDS.index(word) if word in K.KEYWORDS else 1, line))
+            elif c.isdigit():
+                while i < len(text) and (text[i].isdigit() or text[i] == "."):
+                    i += 1
+                out.append((2, line))
+            elif c != " ":
+                out.append((10_000 + ord(c), line))
+        return out
+
+    pick = random.Random(11)
+    parts = ["a", "x7", "_", "0", "42", "\n", " ", "+", "{", "if", "continue", "continued", "protected", "protectex", "1.5", ";"]
+    texts = ["".join(pick.choice(parts) for _ in range(pick.randint(0, 30))) for _ in range(400)]
+    read = prepare.read_tokens([t.encode() for t in texts])
+    for text, symbols, (t, n) in zip(texts, read, K.tokens_many([t.encode() for t in texts]), strict=True):
+        assert list(zip(t.tolist(), n.tolist(), strict=True)) == plain(text)
+        assert symbols.values.tolist() == t.tolist() and symbols.lines(np.arange(len(t))).tolist() == n.tolist()
+
+
 def test_token_rules():
     kinds = lambda b: K.tokens_of(b)[0].tolist()
     assert kinds(b"a // b\nc") == [1, 1]
