@@ -238,7 +238,7 @@ def _common(words: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -
         differs = words[i[live], t] ^ words[j[live], t]
         ends = differs != 0
         with np.errstate(over="ignore"):
-            low = np.bitwise_count((differs[ends] & (~differs[ends] + np.uint64(1))) - np.uint64(1)) // 8
+            low = np.bitwise_count((differs[ends] & (~differs[ends] + np.uint64(1))) - np.uint64(1)).astype(np.int64) // 8
         out[live[ends]] = np.minimum(out[live[ends]], 8 * t + low)
         live = live[~ends]
         live = live[out[live] > 8 * (t + 1)]

@@ -1,6 +1,8 @@
 import json
 import os
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +79,22 @@ def test_line_spans_need_nine_lines(spark):
     assert found[0].normalized_len == 9 and [(o.start_line, o.end_line) for o in found[0].occurrences] == [(1, 9), (1, 17)]
 
 
+@pytest.mark.parametrize("n", [100, 200])
+def test_line_spans_go_on_beside_cut_buckets(spark, n):
+    shared, own = ([f"{w} line number {i} of a longer text" for i in range(m)] for w, m in (("shared", n), ("own", 30)))
+    ids = prepare.numbered(corpus(spark, *[(0, p, "") for p in "ABCDE"])).select("file_id", "path").collect()
+    *_, a, b = [r.path for r in sorted(ids)]  # a cap of two keeps the shared lines of other files
+    rows = [(0, p, "\n".join(shared + own if p in (a, b) else shared)) for p in "ABCDE"]
+    found = spans_of(spark, rows, spans.SpanParams(2, 2, 8, max_bucket=2), "line")
+    assert sorted((g.normalized_len, {o.path for o in g.occurrences} == {a, b}) for g in found) == [(n, False), (n + 30, True)]
+
+
+def test_bytes_in_common_beyond_255():
+    rows = [b"x" * 300 + b"y" * 212, b"x" * 512, b"x" * 300, b"z" * 512]
+    words, size = spans._words(pa.array(rows, pa.binary()))
+    assert spans._common(words, size, np.array([0, 1, 0, 1]), np.array([1, 1, 2, 3])).tolist() == [300, 512, 300, 0]
+
+
 def test_renamed_function_is_found_five_times(spark):
     c = corpus(spark, (0, "a.rs", "one --\nfn twice(n) { return n * 2 + n; }\n"), (1, "b.rs", "two ++\nfn other(k) { return k * 2 + k; }\n"))
     r = report.generate(c, ScanOptions(cross_repo_only=True, min_match_len=5, min_token_len=5, similarity_threshold=0.9))
