@@ -47,6 +47,7 @@ class SpanParams:
 LINES = SpanParams(2, 2, 8)
 FAR = 64  # symbols between neighbours that are hashed as a link
 WIDE = 128  # symbols carried around a fingerprint beside which others were cut
+PACKED = {"char": 1 << 20, "line": 1 << 17, "token": 1 << 20}  # bytes of packed bodies that are read at once
 # Bytes of a symbol; tokens are numbered anew to fit into two.
 CODES = {"char": np.dtype("u1"), "line": np.dtype("<u4"), "token": np.dtype("<u2")}
 
@@ -61,23 +62,38 @@ def _bodies(files: DataFrame, *more: str) -> DataFrame:
     return files.select("file_id", "repo_id", *more, prepare.lossy(F.col("content")).alias("body"))
 
 
-def _packed(files: DataFrame, *more: str) -> DataFrame:
-    """Bodies compressed, for a shuffle: `size` is the length of a body."""
+def _packed(files: DataFrame, kind: str, *more: str) -> DataFrame:
+    """Bodies compressed, for a shuffle: `size` is the length of a body.  Of lines only
+    symbols, numbers and sizes are needed, far fewer bytes than their text."""
     rows = _bodies(files, *more)
     kept = [c for c in rows.columns if c != "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = prepare.bytes_of(batch.column("body"))
-            packed = [pa.array([len(t) for t in texts], pa.int32()), pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *packed], [*kept, "size", "body"])
+        for whole in batches:
+            for batch in prepare.slabs(whole, "body", 1 << 20):
+                texts = prepare.bytes_of(batch.column("body"))
+                if kind == "line":
+                    texts = [_line_bytes(s) for s in prepare.read_lines(texts)]
+                packed = [pa.array([len(t) for t in texts], pa.int32()), pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *packed], [*kept, "size", "body"])
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "body"]
     return rows.mapInArrow(run, ", ".join([*fields, "size int", "body binary"]))
 
 
-def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
-    return [pa.decompress(b, n, "zstd", asbytes=True) for b, n in zip(batch.column("body").to_pylist(), batch.column("size").to_pylist(), strict=True)]
+def _line_bytes(symbols: prepare.Symbols) -> bytes:
+    numbers = np.diff(symbols.lines(np.arange(len(symbols.values))), prepend=0)
+    return np.concatenate([symbols.values, numbers, symbols.sizes]).astype("<u4").tobytes()
+
+
+def _line_symbols(packed: bytes) -> prepare.Symbols:
+    values, numbers, sizes = np.frombuffer(packed, "<u4").reshape(3, -1)
+    return prepare.Symbols(values, np.cumsum(numbers, dtype=np.int64).__getitem__, sizes.astype(np.int64))
+
+
+def _unpacked(kind: str, sizes: pa.Array, bodies: pa.Array) -> list[prepare.Symbols]:
+    raw = [pa.decompress(b, n, "zstd", asbytes=True) for b, n in zip(bodies.to_pylist(), sizes.to_pylist(), strict=True)]
+    return [_line_symbols(r) for r in raw] if kind == "line" else prepare.READERS[kind](raw)
 
 
 def fingerprints(files: DataFrame, kind: str, params: SpanParams) -> DataFrame:
@@ -177,13 +193,13 @@ def surroundings(files: DataFrame, kept: DataFrame, kind: str, params: SpanParam
     schema = "hash long, file_id long, repo_id int, pos int, before long, behind long, left_ binary, right_ binary, edges int"
     k, w, width = params.k, params.w, CODES[kind].itemsize
     places = kept.groupBy("file_id").agg(F.collect_list(F.struct("pos", "cut")).alias("places"))
-    rows = _packed(files).join(places, "file_id")
+    rows = _packed(files, kind).join(places, "file_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in schema.split(", ")]
         for whole in batches:
-            for batch in prepare.slabs(whole, "body", 1 << 20):
-                read = prepare.READERS[kind](_unpacked(batch))
+            for batch in prepare.slabs(whole, "body", PACKED[kind]):
+                read = _unpacked(kind, batch.column("size"), batch.column("body"))
                 out: list[list] = [[] for _ in names]
                 for file, repo, where, symbols in zip(batch.column("file_id").to_pylist(), batch.column("repo_id").to_pylist(), batch.column("places"), read, strict=True):
                     at = where.values.field("pos").to_numpy().astype(np.int64)
@@ -386,20 +402,22 @@ def extended(files: DataFrame, open_: DataFrame, kind: str, params: SpanParams)
     """PLACE's columns of runs whose ends weren't in sight, from the texts of both
     files.  They lie among more than WIDE symbols of cut fingerprints, so are few."""
     starts = open_.groupBy("fa", "fb").agg(F.collect_set(F.struct("distance", "pos")).alias("starts"))
-    side = lambda s: _bodies(files).select(F.col("file_id").alias(f"f{s}"), F.col("body").alias(f"body_{s}"))
+    packed = _packed(files, kind)  # once: both sides read one shuffle
+    side = lambda s: packed.select(F.col("file_id").alias(f"f{s}"), F.col("size").alias(f"size_{s}"), F.col("body").alias(f"body_{s}"))
     rows = starts.join(side("a"), "fa").join(side("b"), "fb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = prepare.READERS[kind]
-        for batch in batches:
-            out = set()
-            for fa, fb, seeds_, ta, tb in zip(*(batch.column(n).to_pylist() for n in ("fa", "fb", "starts", "body_a", "body_b")), strict=True):
-                a, b = (s.values for s in read([ta.encode(), tb.encode()]))
-                for p, q, n in runs(a, b, [(s["distance"], s["pos"]) for s in seeds_], params.min_len, fa == fb):
-                    out |= {(fa, p, n), (fb, q, n)}
-            yield _batch(PLACE, list(zip(*sorted(out), strict=True)) if out else [[], [], []])
+        for whole in batches:
+            for half in prepare.slabs(whole, "body_a", PACKED[kind]):
+                for batch in prepare.slabs(half, "body_b", PACKED[kind]):
+                    out = set()
+                    read = [_unpacked(kind, batch.column(f"size_{s}"), batch.column(f"body_{s}")) for s in "ab"]
+                    for fa, fb, seeds_, a, b in zip(*(batch.column(n).to_pylist() for n in ("fa", "fb", "starts")), *read, strict=True):
+                        for p, q, n in runs(a.values, b.values, [(s["distance"], s["pos"]) for s in seeds_], params.min_len, fa == fb):
+                            out |= {(fa, p, n), (fb, q, n)}
+                    yield _batch(PLACE, list(zip(*sorted(out), strict=True)) if out else [[], [], []])
 
-    return rows.select("fa", "fb", "starts", "body_a", "body_b").mapInArrow(run, PLACE)
+    return rows.select("fa", "fb", "starts", "size_a", "body_a", "size_b", "body_b").mapInArrow(run, PLACE)
 
 
 def occurrences(files: DataFrame, kind: str, params: SpanParams) -> DataFrame:
@@ -427,12 +445,12 @@ def digested(files: DataFrame, places: DataFrame, kind: str, params: SpanParams,
     them once."""
     schema = FOUND + ", sample binary" * sample
     own = places.groupBy("file_id").agg(F.collect_set(F.struct("start", "len")).alias("places"))
-    rows = _packed(files, "path").join(own, "file_id")
+    rows = _packed(files, kind, "path").join(own, "file_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in prepare.slabs(whole, "body", 1 << 20):
-                read = prepare.READERS[kind](_unpacked(batch))
+            for batch in prepare.slabs(whole, "body", PACKED[kind]):
+                read = _unpacked(kind, batch.column("size"), batch.column("body"))
                 hashed: dict[bytes, int] = {}
                 todo, out = [], []
                 for file, repo, path, where, s in zip(*(batch.column(c).to_pylist() for c in ("file_id", "repo_id", "path")), batch.column("places"), read, strict=True):

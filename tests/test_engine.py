@@ -89,6 +89,16 @@ def test_line_spans_go_on_beside_cut_buckets(spark, n):
     assert sorted((g.normalized_len, {o.path for o in g.occurrences} == {a, b}) for g in found) == [(n, False), (n + 30, True)]
 
 
+def test_lines_are_shuffled_as_symbols(spark):
+    texts = {"A": "".join(f"{i} a line of many words, which is longer than its symbol {i}\n" * 2 + "\n" * (i % 3) for i in range(50)), "B": "one", "C": " \n-\n"}
+    rows = spans._packed(prepare.numbered(corpus(spark, *[(0, p, t) for p, t in texts.items()])), "line", "path").toArrow().to_pydict()
+    for path, size, body in zip(rows["path"], rows["size"], rows["body"], strict=True):
+        (got,), (want,) = spans._unpacked("line", pa.array([size]), pa.array([body])), prepare.read_lines([texts[path].encode()])
+        at = np.arange(len(want.values))
+        assert [x.tolist() for x in (got.values, got.lines(at), got.sizes)] == [x.tolist() for x in (want.values, want.lines(at), want.sizes)]
+        assert size == 12 * len(at)
+
+
 def test_bytes_in_common_beyond_255():
     rows = [b"x" * 300 + b"y" * 212, b"x" * 512, b"x" * 300, b"z" * 512]
     words, size = spans._words(pa.array(rows, pa.binary()))
