@@ -9,7 +9,8 @@ it, how far the run goes beyond it.  A run of one seed ends where it starts, and
 needs no shuffle; events of longer ones meet by file pair.  Places of runs, each
 once, go back to their files, which give them a digest and lines; places of one
 digest are a group.  Texts are shuffled once to get fingerprints' surroundings and
-once for digests, never to a pair of files.
+once for digests, and to a pair of files only for runs whose ends aren't in sight;
+of lines, symbols are shuffled in place of texts.
 """
 
 from __future__ import annotations
