@@ -11,6 +11,11 @@ once, go back to their files, which give them a digest and lines; places of one
 digest are a group.  Texts are shuffled once to get fingerprints' surroundings and
 once for digests, and to a pair of files only for runs whose ends aren't in sight;
 of lines, symbols are shuffled in place of texts.
+
+Without a cap (`max_bucket=None`) no pairs are made.  A bucket's places are told apart
+symbol by symbol, as in a trie of what follows them; where a branch of it parts, counts
+of what lies before the places tell which of them end a common stretch there.  See
+`maximal`.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +41,7 @@ class SpanParams:
     k: int
     w: int
     cross_repo_only: bool = False
-    max_bucket: int | None = 512  # occurrences of one fingerprint; None: all of them
+    max_bucket: int | None = 512  # occurrences of one fingerprint; None: all of them, by `exactly`
     min_chars: int = 0  # of the sizes of a span's symbols
 
     @classmethod
@@ -47,6 +53,7 @@ class SpanParams:
 
 LINES = SpanParams(2, 2, 8)
 FAR = 64  # symbols between neighbours that are hashed as a link
+AHEAD = 64  # symbols carried from a fingerprint on where no bucket is cut; more only for those that agree so far
 WIDE = 128  # symbols carried around a fingerprint beside which others were cut
 PACKED = {"char": 1 << 20, "line": 1 << 17, "token": 1 << 20}  # bytes of packed bodies that are read at once
 # Bytes of a symbol; tokens are numbered anew to fit into two.
@@ -421,9 +428,236 @@ def extended(files: DataFrame, open_: DataFrame, kind: str, params: SpanParams)
     return rows.select("fa", "fb", "starts", "size_a", "body_a", "size_b", "body_b").mapInArrow(run, PLACE)
 
 
+def repeated(prints: DataFrame) -> DataFrame:
+    """(file_id, pos) of fingerprints whose hash occurs more than once; a bucket of any
+    size streams through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = None, False  # the last row, and whether its hash was seen before
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([held, batch] if held else [batch]).combine_chunks()
+            h = table.column("hash").to_numpy()
+            same = np.concatenate([[known], h[1:] == h[:-1]])
+            keep = same[:-1] | same[1:]
+            yield from table.select(["file_id", "pos"]).slice(0, len(keep)).filter(pa.array(keep)).combine_chunks().to_batches()
+            held, known = table.slice(len(keep)).to_batches()[0], bool(same[-1])
+        if known:
+            yield held.select(["file_id", "pos"])
+
+    return prepare.dealt(prints, ["hash"]).mapInArrow(run, "file_id long, pos int")
+
+
+AROUND = "hash long, more long, file_id long, repo_id int, places array<int>, first int, body binary"
+
+
+def around(packed: DataFrame, kept: DataFrame, kind: str, params: SpanParams) -> DataFrame:
+    """AROUND's columns: of each place w symbols before it and AHEAD from it on, where
+    `first` is the place of the first symbol.  Where kept places have keys (hash, more),
+    all of them that share a file and a key share its symbols up to its end."""
+    far = "more" in kept.columns
+    own = ["hash", "more", "pos"] if far else ["pos"]
+    rows = packed.join(kept.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct(*own))).alias("places")), "file_id")
+    width, names = CODES[kind].itemsize, [x.split()[0] for x in AROUND.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in prepare.slabs(whole, "body", PACKED[kind]):
+                read = _unpacked(kind, batch.column("size"), batch.column("body"))
+                for file, repo, where, symbols in zip(batch.column("file_id").to_pylist(), batch.column("repo_id").to_pylist(), batch.column("places"), read, strict=True):
+                    n = len(symbols.values)
+                    code = coded(kind, symbols.values).tobytes()
+                    at = where.values.field("pos").to_numpy().astype(np.int64)
+                    if far:
+                        keys = [where.values.field(c).to_numpy() for c in ("hash", "more")]
+                        heads = np.flatnonzero(np.concatenate([[True], (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])]))
+                        ends = np.full(len(heads), n)
+                    else:
+                        keys = [kernels.poly_hashes(symbols.values, params.k)[at].view(np.int64), np.zeros(len(at), dtype=np.int64)]
+                        heads, ends = np.arange(len(at)), np.minimum(at + AHEAD, n)
+                    first = np.maximum(at[heads] - params.w, 0)
+                    most = np.append(np.flatnonzero(np.diff(np.cumsum((ends - first) * width) >> 22)) + 1, len(heads))  # of many places or classes, some MB at once
+                    for a, b in zip([0, *most[:-1]], most, strict=True):
+                        bounds = np.append(heads[a:b], heads[b] if b < len(heads) else len(at))
+                        places = pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), pa.array(at[bounds[0] : bounds[-1]], pa.int32()))
+                        bodies = [code[p * width : q * width] for p, q in zip(first[a:b].tolist(), ends[a:b].tolist(), strict=True)]
+                        few = [pa.array(k[heads[a:b]]) for k in keys] + [pa.array(np.full(b - a, file)), pa.array(np.full(b - a, repo), pa.int32())]
+                        yield pa.RecordBatch.from_arrays([*few, places, pa.array(first[a:b], pa.int32()), pa.array(bodies, pa.binary())], names)
+
+    return rows.select("file_id", "repo_id", "size", "body", "places").mapInArrow(run, AROUND)
+
+
+def _numbered(*columns: np.ndarray) -> np.ndarray:
+    """For each row a number of its combination of values."""
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), dtype=np.int64)
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _partner(group: np.ndarray, x: np.ndarray, y: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For each row the row of least rank in its group that differs from it in x and in
+    y, or -1.  Five rows of a group answer that for all others: the first; the first
+    that differs from it in x, and of such the first that differs from that in y; and
+    so with x and y exchanged."""
+    order = np.lexsort((rank, group))
+    g, x, y = (c[order] for c in (group, x, y))
+    g = np.cumsum(np.concatenate([[0], g[1:] != g[:-1]]))
+
+    def first(rows: np.ndarray) -> np.ndarray:
+        found = np.full(g[-1] + 1, -1)
+        at = np.flatnonzero(rows)[::-1]
+        found[g[at]] = at
+        return found[g]
+
+    head = first(np.ones(len(g), dtype=bool))
+    candidates = [head]
+    for u, v in ((x, y), (y, x)):
+        second = first(u != u[head])
+        third = first((u != u[head]) & (v != v[second]) & (second >= 0))
+        candidates += [second, third]
+    best = np.full(len(g), len(g))
+    for c in candidates:
+        best = np.where((c >= 0) & (x[c] != x) & (y[c] != y), np.minimum(best, c), best)
+    out = np.empty(len(g), dtype=np.int64)
+    out[order] = np.where(best < len(g), order[np.minimum(best, len(g) - 1)], -1)
+    return out
+
+
+def maximal(of, symbols, at, begin, end, file, repo, pos, base: int, ahead: int, params: SpanParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of places in buckets `of`: (row, symbols before it, length) of all maximal common
+    stretches with another place of the bucket; and the rows that may have more of them
+    beyond `ahead` symbols.  A row's place is symbols[at]; what is there of its file lies
+    from `begin` to `end`.  Fewer than w symbols before it or `ahead` from it on end with
+    the file.  Places of a bucket have their first `base` symbols in common.
+
+    Of two places, w or more symbols in common before them hold a common fingerprint
+    too, whose bucket finds the stretch: so only pairs that part within w are asked for.
+    Rows are divided by one symbol behind the place at a time.  Those of one class that
+    part there, and have a symbols before them in common but not a + 1, are the pairs of
+    a stretch.  For a row it is enough to know the first and the last of its partners,
+    by root, file and place: they tell whether one lies elsewhere or far enough."""
+    n, w = len(of), params.w
+    own = np.arange(n) + (np.int64(1) << 40)  # an end of a file is like nothing else
+    classes = [np.asarray(of, dtype=np.int64)]
+    for a in range(w):
+        there = at - 1 - a
+        classes.append(_numbered(np.where(there >= begin, symbols[np.maximum(there, 0)].astype(np.int64), own), classes[-1]))
+    lead = classes[w]
+    rank = np.empty(n, dtype=np.int64)
+    rank[np.lexsort((pos, file, repo))] = np.arange(n)
+    found: list[np.ndarray] = []
+
+    def living(rows: np.ndarray, cls: np.ndarray, b: int) -> np.ndarray:
+        """Which of `rows`, in the order of cls, are in a class that may have pairs."""
+        if not len(rows):
+            return np.zeros(0, dtype=bool)
+        heads = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+        low, high = (lambda v: np.minimum.reduceat(v[rows], heads)), (lambda v: np.maximum.reduceat(v[rows], heads))
+        good = (low(lead) != high(lead)) & ((low(file) != high(file)) | (high(pos) - low(pos) >= b))
+        return np.repeat(good, np.diff(np.append(heads, len(rows))))
+
+    def part(rows: np.ndarray, cls: np.ndarray, y: np.ndarray, b: int) -> None:
+        for a in range(w):
+            group = _numbered(classes[a][rows], cls)
+            many = np.bincount(group)[group] > 1
+            rows, cls, y, group = rows[many], cls[many], y[many], group[many]
+            if not len(rows):
+                break
+            if a + b < params.min_len:
+                continue
+            first, last = (_partner(group, classes[a + 1][rows], y, r[rows]) for r in (rank, -rank))
+            hit = first >= 0
+            i, p, q = rows[hit], rows[first[hit]], rows[last[hit]]
+            if params.cross_repo_only:
+                valid = (repo[p] != repo[q]) | (repo[i] != repo[p])
+            else:
+                valid = (file[p] != file[q]) | (file[i] != file[p]) | (np.maximum(pos[i] - pos[p], pos[q] - pos[i]) >= a + b)
+            found.append(np.stack([i[valid], np.full(int(valid.sum()), a), np.full(int(valid.sum()), a + b)]))
+
+    live = np.argsort(classes[0], kind="stable")
+    cls = classes[0][live]
+    good = living(live, cls, base)
+    live, cls = live[good], cls[good]
+    for b in range(base, ahead):
+        if not len(live):
+            break
+        there = at[live] + b
+        symbol = np.where(there < end[live], symbols[np.minimum(there, len(symbols) - 1)].astype(np.int64), own[live])
+        heads = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]]))
+        size = np.diff(np.append(heads, len(cls)))
+        middle = heads + size // 2  # mostly one of the many, if there are many alike
+        leaves = symbol != np.repeat(symbol[middle], size)
+        if not leaves.any():
+            continue
+        parted = np.repeat(np.logical_or.reduceat(leaves, heads), size)
+        # Those who stay, and have before them what most have, have partners only among
+        # the leaving who haven't.
+        common = lead[live] == np.repeat(lead[live[middle]], size)
+        needed = parted & (leaves | ~common | np.repeat(np.logical_or.reduceat(leaves & ~common, heads), size))
+        y = np.zeros(len(live), dtype=np.int64)
+        y[leaves] = 1 + _numbered(symbol[leaves], cls[leaves])
+        if b >= params.k:
+            part(live[needed], cls[needed], y[needed], b)
+        order = np.flatnonzero(leaves)[np.argsort(y[leaves], kind="stable")]
+        rows, new = live[order], y[order] + int(cls.max())
+        live, cls = np.concatenate([live[~leaves], rows]), np.concatenate([cls[~leaves], new])
+        good = living(live, cls, b + 1)
+        live, cls = live[good], cls[good]
+    row, a, length = np.concatenate(found, axis=1) if found else np.zeros((3, 0), dtype=np.int64)
+    return row, a, length, live
+
+
+def _found(batches: Iterator[pa.RecordBatch], kind: str, params: SpanParams, far: bool, schema: str) -> Iterator[pa.RecordBatch]:
+    for table in prepare.whole_groups(batches, ["hash", "more"], 2_000 if far else 20_000):
+        places, body = (table.column(c).combine_chunks() for c in ("places", "body"))
+        offsets = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64) // CODES[kind].itemsize
+        symbols = np.frombuffer(body.buffers()[2], CODES[kind])
+        line = np.repeat(np.arange(len(places)), places.value_lengths().to_numpy())
+        of = prepare.group_numbers(table, ["hash", "more"])[line]
+        file, repo, first = (table.column(c).to_numpy().astype(np.int64)[line] for c in ("file_id", "repo_id", "first"))
+        pos = places.flatten().to_numpy().astype(np.int64)
+        begin, end = offsets[:-1][line], offsets[1:][line]
+        at = begin + pos - first
+        ahead = int((end - at).max()) + 1 if far else AHEAD
+        row, a, length, rest = maximal(of, symbols, at, begin, end, file, repo, pos, AHEAD if far else 0, ahead, params)
+        places = _distinct(file[row], pos[row] - a, length)
+        none = pa.nulls(len(places[0]), pa.int64())
+        yield _batch(schema, [*places, none, none])
+        if len(rest):
+            heads = [hashlib.blake2b(symbols[x : x + AHEAD].tobytes(), digest_size=16).digest() for x in at[rest].tolist()]
+            keys = np.frombuffer(b"".join(heads), "<i8").reshape(-1, 2)
+            yield _batch(schema, [file[rest], pos[rest], pa.nulls(len(rest), pa.int32()), keys[:, 0], keys[:, 1]])
+
+
+def exactly(files: DataFrame, kind: str, params: SpanParams, stage: Stage) -> DataFrame:
+    """PLACE's columns: the places of repeated spans, from all places of a fingerprint.
+    Those that agree with others in AHEAD symbols, but not in what lies before them,
+    meet a second time by what these symbols are, with the rest of their files."""
+    packed = _packed(files, kind)
+    if kind == "line":
+        packed = stage.write(packed, "packed")
+    schema = f"{PLACE}, hash long, more long"
+    kept, steps = stage.write(repeated(fingerprints(files, kind, params)), "kept"), []
+    for far in (False, True):
+        rows = prepare.dealt(around(packed, kept, kind, params), ["hash", "more"])
+        steps.append(stage.write(rows.mapInArrow(lambda batches, far=far: _found(batches, kind, params, far, schema), schema), f"found-{far}"))
+        kept = steps[-1].where("len IS NULL").select("file_id", F.col("start").alias("pos"), "hash", "more")
+        if kept.isEmpty():
+            break
+    release(files.sparkSession)
+    return reduce(DataFrame.unionByName, steps).where("len IS NOT NULL").select("file_id", "start", "len")
+
+
 def occurrences(files: DataFrame, kind: str, params: SpanParams) -> DataFrame:
     """PLACE's columns: the places of repeated spans, some more than once."""
     stage = Stage(files.sparkSession, f"spans-{kind}", tidy=True)
+    if params.max_bucket is None:
+        return exactly(files, kind, params, stage)
     kept = stage.write(buckets(fingerprints(files, kind, params), params.max_bucket), "kept")
     found = stage.write(seeds(surroundings(files, kept, kind, params), kind, params), "seeds")
     stage.drop("kept")
